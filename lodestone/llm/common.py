@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,24 @@ def by_code_point(c: str) -> Column:
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z; nothing else changes."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of n rows at most, for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Ids that may be broadcast: 16 MB of them. More are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """df marked for broadcast if it has no more than limit rows, counted first; else as it is."""
+    return F.broadcast(df) if df.count() <= limit else df
