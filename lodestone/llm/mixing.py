@@ -47,9 +47,13 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
     budget = F.least(F.sum("source_size").over(everything) * F.lit(float(share)), F.sum("cap").over(everything))
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing))
-    df = df.withColumn("level", (budget - before) / rest).withColumn("full", F.col("cap") <= F.col("level") * F.col("w"))
-    level = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
-    return df.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", level * F.col("w"))).alias("target"))
+    df = df.withColumn("nth", F.row_number().over(order)).withColumn("level", (budget - before) / rest)
+    # the first source in this order that its share does not fill sets the level for itself and all after it
+    first = F.min(F.when(F.col("cap") > F.col("level") * F.col("w"), F.col("nth"))).over(everything)
+    df = df.withColumn("first", first)
+    level = F.max(F.when(F.col("nth") == F.col("first"), F.col("level"))).over(everything)
+    target = F.when(F.col("nth") >= F.col("first"), F.least("cap", level * F.col("w"))).otherwise(F.col("cap"))
+    return df.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:

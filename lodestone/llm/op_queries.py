@@ -21,6 +21,15 @@ def query(sql: str | None = None):
     return put
 
 
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.langid import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS s FROM w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS u(i) WHERE len(w) > 0),
@@ -46,9 +55,11 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap FROM s),
-l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
-      / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-t AS (SELECT source, source_size, CASE WHEN cap <= level * w THEN cap ELSE least(cap, min(level) FILTER (WHERE NOT cap <= level * w) OVER () * w) END AS target FROM l),
+l AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS nth,
+             (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+             / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+f AS (SELECT min(nth) AS first FROM l WHERE cap > level * w),
+t AS (SELECT source, source_size, CASE WHEN nth >= (SELECT first FROM f) THEN least(cap, (SELECT level FROM l WHERE nth = (SELECT first FROM f)) * w) ELSE cap END AS target FROM l),
 p AS (SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS copies FROM t),
 r AS (SELECT d.doc_id, d.size, d.h, p.source_size, p.target, p.copies, p.target - p.copies * p.source_size AS rest,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
@@ -152,3 +163,28 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
     return read_tokens(spark, path)
+
+
+@query()
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.ann import nearest
+
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import classify
+
+    docs = table(spark, sf_dir, "documents")
+    found = classify(docs, table(spark, sf_dir, "labels"), host=F.col("source"), path=F.concat_ws("/", "source", "lang"))
+    return found.select("doc_id", "host", "path", "p_text", "p_site", "score", "keep")
+
+
+@query()
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.htmltext import extract
+
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
