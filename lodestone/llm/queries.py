@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodestone.llm import op_queries
 
-QUERIES = {f.__name__: f for f in op_queries.ALL}
-ORACLES = dict(op_queries.ORACLES)
+QUERIES = {f.__name__: f for f in op_queries.ALL} | {"pipeline": corpus_pipeline.run}
+ORACLES = dict(op_queries.ORACLES) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
