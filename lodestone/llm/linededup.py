@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, lower_ascii, shuffle_width
+from lodestone.llm.common import cut, lower_ascii, shuffle_width, small
 
 SPACE = " \t\n\x0b\x0c\r"
 DOCUMENTS = 10
@@ -99,7 +99,7 @@ def drop_frequent_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """docs with text_kept (the other lines joined by a newline), n_lines and n_dropped in the struct column `line_dedup`."""
     rows = cut(line_rows(docs, doc_id, text).where(F.col("len") >= least_chars).drop("len"))
     keys = frequent_lines(rows, threshold=threshold, batches=batches, fan=fan)
-    gone = rows.join(keys, ["k1", "k2"]).groupBy("d", "same").agg(F.collect_set("pos").alias("gone"))
+    gone = rows.join(small(cut(keys)), ["k1", "k2"]).groupBy("d", "same").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("d").alias("__ld_d"), F.col("same").alias("__ld_same"), "gone").withColumnRenamed("gone", "__ld_gone")
     out = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__ld_d")) & (F.xxhash64(F.col(text)) == F.col("__ld_same")), "left")
     lines, drop = lines_of(F.col(text)), F.col("__ld_gone")
