@@ -102,11 +102,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: i
                     first = np.lexsort((s, freq))[: _prefix(len(s), num, den) + 1] if len(s) else np.zeros(0, np.int64)
                     pre.append(s[first].view(np.int64))
                     expected.append(float(freq[first[:-1]].sum()))
-                    hist.append(np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 1 << 30).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)), pa.array(np.concatenate(part) if part else np.zeros(0, kind), kind)) for part, kind in ((pre, pa.int64()), (hist, pa.int32()))]
+                    hist.append(np.bincount((s >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype(np.int16) if len(s) <= 32767 else np.zeros(0, np.int16))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)), pa.array(np.concatenate(part) if part else [], kind)) for part, kind in ((pre, pa.int64()), (hist, pa.int16()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists[0], pa.array(expected, pa.float64()), lists[1]], names=["doc_id", "n", "h1", "h2", "pre", "expected", "hist"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, pre array<long>, expected double, hist array<int>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, pre array<long>, expected double, hist array<short>")
 
 
 def boundary(reps: DataFrame, num: int, den: int) -> int:
@@ -146,7 +146,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text
     hist = reps.select("doc_id", "n", "hist")
     both = pairs.join(hist.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("hist").alias("ah")), "a").join(hist.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("hist").alias("bh")), "b")
     most = F.aggregate(F.zip_with("ah", "bh", lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda x, y: x + y)
-    pairs = cut(both.where(most * (num + den) >= (F.col("an") + F.col("bn")) * num).select("a", "b").distinct())
+    may = (F.size("ah") == 0) | (F.size("bh") == 0) | (most * (num + den) >= (F.col("an") + F.col("bn")) * num)  # sets too large for a histogram have none
+    pairs = cut(both.where(may).select("a", "b").distinct())
     ids = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = own.join(small(cut(ids)), F.col("doc_id") == F.col("__id"), "left_semi")
@@ -183,21 +184,23 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
         signed = cut(signatures(docs, doc_id, text, k, num, den, heavy))
     named = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = cut(named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
-    rep_rows = named.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "n", "h1", "h2"])
-    reps = cut(rep_rows.select("doc_id", "n", "pre", "expected", "hist"))
+    # every row but its class's representative is a copy: these are left out, by broadcast where few enough
+    copies = named.select("n", "h1", "h2", "doc_id").join(classes, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("__copy"), F.col("h1").alias("__h1"))
+    reps = named.join(small(cut(copies)), (F.col("doc_id") == F.col("__copy")) & (F.col("h1") == F.col("__h1")), "left_anti").select("doc_id", "n", "pre", "expected", "hist")
     entries = postings(reps, boundary(reps, num, den), num, den)
 
-    lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("hub"), F.min(F.col("doc").bitwiseXOR(F.lit(_FLIP))).alias("flipped")).where("c > 1")
-    lists = lists.select("key", "hub", F.col("flipped").bitwiseXOR(F.lit(_FLIP)).alias("hub2"))
-    met = cut(entries.join(lists.hint("shuffle_hash"), "key").select("key", "doc", "n", "rem", ((F.col("doc") == F.col("hub")) | (F.col("doc") == F.col("hub2"))).alias("is_hub")))
+    shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = cut(entries.join(shared.hint("shuffle_hash"), "key"))
+    lists = met.groupBy("key").agg(F.min("doc").alias("hub"), F.min(F.col("doc").bitwiseXOR(F.lit(_FLIP))).alias("flipped"))
+    lists = lists.select("key", F.explode(F.array_distinct(F.array("hub", F.col("flipped").bitwiseXOR(F.lit(_FLIP))))).alias("doc"))
 
-    hubs = met.where("is_hub").select("key", F.col("doc").alias("hdoc"), F.col("n").alias("hn"), F.col("rem").alias("hrem"))
-    meeting = met.join(hubs, (met["key"] == hubs["key"]) & (F.col("doc") != F.col("hdoc")) & _may(F.col("n"), F.col("hn"), F.col("rem"), F.col("hrem"), num, den))
+    hubs = met.join(lists, ["key", "doc"]).select(F.col("key").alias("hkey"), F.col("doc").alias("hdoc"), F.col("n").alias("hn"), F.col("rem").alias("hrem"))
+    meeting = met.join(hubs, (F.col("key") == F.col("hkey")) & (F.col("doc") != F.col("hdoc")) & _may(F.col("n"), F.col("hn"), F.col("rem"), F.col("hrem"), num, den))
     first = cut(meeting.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b")).distinct())
     links = verify(first, reps, docs, doc_id, text, k, num, den)
 
     known = components(links)
-    own = met.drop("is_hub").join(known, F.col("doc") == F.col("id"), "left").select("key", "doc", "n", "rem", F.coalesce("component", "doc").alias("comp"))
+    own = met.join(known, F.col("doc") == F.col("id"), "left").select("key", "doc", "n", "rem", F.coalesce("component", "doc").alias("comp"))
     per = own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     own = cut(own.join(per, "key"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("long")
