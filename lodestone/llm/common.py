@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,15 @@ BROADCAST_IDS = 1_000_000
 def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """df marked for broadcast if it has no more than limit rows, counted first; else as it is."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def worker_runs(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where an operator's code begins in a worker: frees what other operators hold in it. clear frees the owner's own."""
+    for name in [n for n in _held if n != owner]:
+        _held.pop(name)()
+        gc.collect()
+    if clear is not None:
+        _held[owner] = clear

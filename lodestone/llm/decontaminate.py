@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import worker_runs
 from lodestone.llm.wordhash import ALNUM, blocks, hash_words, shingles, string_buffers
 
 WINDOW = 13
@@ -99,6 +100,7 @@ def _frequencies(docs: DataFrame, text: str, win: Windows) -> dict[int, np.ndarr
     sent = docs.sparkSession.sparkContext.broadcast((win.sizes, win.tokens))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_runs("decontaminate")
         sizes, tokens = sent.value
         seen = {q: np.zeros(len(tokens[q]), np.int64) for q in sizes}
         sieves = {q: _sieve(tokens[q]) for q in sizes}

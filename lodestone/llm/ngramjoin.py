@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows, cut, small
+from lodestone.llm.common import arrow_rows, cut, small, worker_runs
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import mix, shingle_sets, string_buffers
 
@@ -57,6 +57,7 @@ def heavy_shingles(texts: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndar
     """The most frequent shingles (sorted) and in how many documents they were met. Shingles that no part of the input holds three times are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_runs("ngramjoin")
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -86,6 +87,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: i
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_runs("ngramjoin")
         heavy, df = sent.value
         with np.errstate(over="ignore"):
             for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows, cut
+from lodestone.llm.common import arrow_rows, cut, worker_runs
 from lodestone.llm.wordhash import NOT_SPACE, blocks, hash_words, string_buffers
 
 #: Bound of the fitting sample, in labelled documents.
@@ -123,6 +123,7 @@ def evidence(docs: DataFrame, model: Model | None, *, host: Column, path: Column
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_runs("quality")
         for batch in batches:
             x = features(*string_buffers(batch.column(4)))
             p = sent.value.predict(x) if sent.value is not None else np.ones(len(x))

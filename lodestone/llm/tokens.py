@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shuffle_width
+from lodestone.llm.common import shuffle_width, worker_runs
 
 #: Texts' words whose ids a worker remembers. Past this the older half is forgotten; ids don't depend on it.
 CACHE_WORDS = 600_000
@@ -90,6 +90,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
         task = TaskContext.get()
         fs, root = _fs(path)
         name, own = f"{root}/part-{task.partitionId():06d}", uuid.uuid4().hex
+        worker_runs("tokens", _loaded.clear)
         enc = encoder(tokenizer)
         off, ids, nulls, total = [np.zeros(1, np.int64)], [], [], 0
         out = None
