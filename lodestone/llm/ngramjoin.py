@@ -10,12 +10,15 @@ of their sets is at least num / den.
 3. Small sets enumerate their subsets of two out of those p + 1 and meet in equal subsets. Large sets,
    and the small ones near enough in size to link with a large one, post p single shingles into inverted
    lists that are scanned. The boundary is the size at which the two cost the least: subsets written
-   against postings written plus the entries expected in their lists.
+   against postings written plus the meetings expected in shared lists.
 4. A meeting counts only if the sizes allow a link and so many shingles remain behind the meeting's place
    on both sides (positional bound).
-5. Lists are not multiplied out. First each entry meets two hubs of its list; links are verified and
-   joined into components. Then only entries outside their list's main component meet the entries of
-   other components, dealt by length. A group of near copies thus costs in proportion to its size.
+5. Lists of shingles that are not known to be frequent are dealt and sorted by key and scanned as a
+   stream; those of up to LIGHT entries give their pairs right there. Longer ones, and those of frequent
+   shingles, are not multiplied out: first each entry meets two hubs of its list; links are verified and
+   contracted. Then only entries outside their list's main component meet the entries of other
+   components, dealt by length. A group of near copies thus costs in proportion to its size, and these
+   lists are handled by sums and joins that can be split.
 6. Candidates pass an upper bound by 64-bin histograms and are then verified on the whole sets, which
    are made again from the whole texts of the candidates alone.
 
@@ -34,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows, cut, small, worker_runs
+from lodestone.llm.common import arrow_rows, cut, shuffle_width, small, worker_runs
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import mix, shingle_sets, string_buffers
 
 #: How many of the most frequent shingles the order by rarity knows; the others count as equally rare.
 HEAVY = 100_000
 BINS = 64
-#: Cost of an expected list entry, in subsets or postings written.
-ENTRY_COST = 20.0
+#: Cost of an entry in a shared list, in subsets or postings written: it meets two hubs.
+ENTRY_COST = 3.0
+#: Entries of a list that are paired as they stream by.
+LIGHT = 16
 BOUNDARIES = (0, 6, 8, 10, 13, 16, 20, 26, 34, 44, 56, 72, 96, 128)
 TEXT_ROWS = 2000
 SET_ROWS = 200
@@ -83,7 +88,7 @@ def heavy_shingles(texts: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndar
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, h1, h2, pre, expected, hist): size, 128-bit hash of the set, its rarest p + 1 shingles in order, entries expected in their lists, histogram."""
+    """(doc_id, n, h1, h2, pre, cold, hist): size, 128-bit hash of the set, its rarest p + 1 shingles in order, how many of these are not known to be frequent, histogram."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +96,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: i
         heavy, df = sent.value
         with np.errstate(over="ignore"):
             for batch in batches:
-                n, h1, h2, pre, expected, hist = [], [], [], [], [], []
+                n, h1, h2, pre, cold, hist = [], [], [], [], [], []
                 for s in shingle_sets(*string_buffers(batch.column(1)), k):
                     n.append(len(s))
                     h1.append(np.int64(np.add.reduce(mix(s)).astype(np.int64)))
@@ -103,12 +108,12 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: i
                         freq = np.zeros(len(s), np.int64)
                     first = np.lexsort((s, freq))[: _prefix(len(s), num, den) + 1] if len(s) else np.zeros(0, np.int64)
                     pre.append(s[first].view(np.int64))
-                    expected.append(float(freq[first[:-1]].sum()))
+                    cold.append(int((freq[first] == 0).sum()))
                     hist.append(np.bincount((s >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype(np.int16) if len(s) <= 32767 else np.zeros(0, np.int16))
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)), pa.array(np.concatenate(part) if part else [], kind)) for part, kind in ((pre, pa.int64()), (hist, pa.int16()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists[0], pa.array(expected, pa.float64()), lists[1]], names=["doc_id", "n", "h1", "h2", "pre", "expected", "hist"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists[0], pa.array(cold, pa.int32()), lists[1]], names=["doc_id", "n", "h1", "h2", "pre", "cold", "hist"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, pre array<long>, expected double, hist array<short>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, pre array<long>, cold int, hist array<short>")
 
 
 def boundary(reps: DataFrame, num: int, den: int) -> int:
@@ -117,25 +122,82 @@ def boundary(reps: DataFrame, num: int, den: int) -> int:
     costs = []
     for b in BOUNDARIES:
         subsets = F.when(F.col("n") <= b, p * (p + 1) / 2).otherwise(0.0)
-        lists = F.when((F.col("n") > b) | (F.col("n") * den >= num * (b + 1)), p + F.col("expected") * ENTRY_COST).otherwise(0.0)
+        lists = F.when((F.col("n") > b) | (F.col("n") * den >= num * (b + 1)), p + F.greatest(p - F.col("cold"), F.lit(0)) * ENTRY_COST).otherwise(0.0)
         costs.append(F.sum(subsets + lists).alias(f"b{b}"))
     row = reps.agg(*costs).first()
     return min(BOUNDARIES, key=lambda b: (row[f"b{b}"] or 0.0, b))
 
 
 def postings(reps: DataFrame, b: int, num: int, den: int) -> DataFrame:
-    """(key, doc, n, rem): rem is how many common shingles a meeting here allows at most."""
+    """(key, doc, n, rem, hot): rem is how many common shingles a meeting here allows at most; hot keys are made of frequent shingles alone."""
     n = F.col("n")
     able = reps.where(n * (den - num) >= num)  # smaller sets link with equal ones alone
-    single = able.where((n > b) | (n * den >= num * (b + 1))).select("doc_id", "n", F.posexplode(F.expr("slice(pre, 1, size(pre) - 1)")).alias("i", "key"))
-    single = single.select("key", F.col("doc_id").alias("doc"), "n", (n - F.col("i")).alias("rem"))
+    single = able.where((n > b) | (n * den >= num * (b + 1))).select("doc_id", "n", "cold", F.posexplode(F.expr("slice(pre, 1, size(pre) - 1)")).alias("i", "key"))
+    single = single.select("key", F.col("doc_id").alias("doc"), "n", (n - F.col("i")).alias("rem"), (F.col("i") >= F.col("cold")).alias("hot"))
     second = F.transform("pre", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    pairs = able.where((n <= b) & (F.size("pre") >= 2)).select("doc_id", "n", "pre", F.explode(second).alias("two"))
-    pairs = pairs.where(F.col("two.i") > 0).select("doc_id", "n", "two", F.explode(F.expr("slice(pre, 1, two.i)")).alias("one"))
-    pairs = pairs.select(F.xxhash64(F.lit(2), "one", "two.x").alias("key"), F.col("doc_id").alias("doc"), "n", (n - F.col("two.i") + 1).alias("rem"))
+    pairs = able.where((n <= b) & (F.size("pre") >= 2)).select("doc_id", "n", "pre", "cold", F.explode(second).alias("two"))
+    pairs = pairs.where(F.col("two.i") > 0).select("doc_id", "n", "two", "cold", F.posexplode(F.expr("slice(pre, 1, two.i)")).alias("j", "one"))
+    pairs = pairs.select(F.xxhash64(F.lit(2), "one", "two.x").alias("key"), F.col("doc_id").alias("doc"), "n", (n - F.col("two.i") + 1).alias("rem"), (F.col("j") >= F.col("cold")).alias("hot"))
     return single.unionByName(pairs)
 
 
+def scan_lists(entries: DataFrame, num: int, den: int, light: int = LIGHT) -> DataFrame:
+    """(a, b, n, rem) of entries dealt and sorted by key: pairs (a, b) of short lists that may link, with n null; entries (key, doc, n, rem) of long ones as they are."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_runs("ngramjoin")
+        names = ["a", "b", "n", "rem"]
+
+        def as_they_are(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[i]) for i in range(4)], names=names)
+
+        def pairs(rows: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = [], []
+            for s in range(2, light + 1):
+                own = start[size == s]
+                for i in range(s if len(own) else 0):
+                    for j in range(i):
+                        x, y = rows[:, own + i], rows[:, own + j]
+                        need = -(-(x[2] + y[2]) * num // (num + den))
+                        ok = (x[1] != y[1]) & (np.minimum(x[2], y[2]) * den >= np.maximum(x[2], y[2]) * num) & (np.minimum(x[3], y[3]) >= need)
+                        a.append(np.minimum(x[1], y[1])[ok])
+                        b.append(np.maximum(x[1], y[1])[ok])
+            if a:
+                both = np.unique(np.column_stack((np.concatenate(a), np.concatenate(b))), axis=0)
+                none = pa.nulls(len(both), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), none, none], names=names)
+
+        held = np.zeros((4, 0), np.int64)
+        long_key = None  # the key of a list that is already known to be long
+        for batch in batches:
+            rows = np.concatenate((held, np.array([batch.column(i).to_numpy() for i in range(4)])), axis=1)
+            if long_key is not None:
+                k = int(np.searchsorted(rows[0], long_key, side="right"))
+                if k:
+                    yield as_they_are(rows[:, :k])
+                rows = rows[:, k:]
+                if rows.shape[1]:
+                    long_key = None
+            if not rows.shape[1]:
+                held = rows
+                continue
+            start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+            size = np.diff(np.append(start, rows.shape[1]))
+            held = rows[:, start[-1] :]  # the last list may go on in the next batch
+            yield from pairs(rows, start[:-1], size[:-1])
+            for s, n in zip(start[:-1][size[:-1] > light], size[:-1][size[:-1] > light], strict=True):
+                yield as_they_are(rows[:, s : s + n])
+            if held.shape[1] > light:
+                long_key = held[0, 0]
+                yield as_they_are(held)
+                held = held[:, :0]
+        if held.shape[1]:
+            yield from pairs(held, np.zeros(1, np.int64), np.array([held.shape[1]]))
+
+    dealt = entries.select("key", "doc", "n", F.col("rem").cast("long").alias("rem")).repartition(shuffle_width(entries.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(scan, "a long, b long, n long, rem long")
+
+
 def _may(a_n: Column, b_n: Column, a_rem: Column, b_rem: Column, num: int, den: int) -> Column:
     """Whether sizes and places allow a link."""
     need = F.ceil((a_n + b_n) * num / (num + den))
@@ -145,11 +207,13 @@ def _may(a_n: Column, b_n: Column, a_rem: Column, b_rem: Column, num: int, den:
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) that link, with their overlap."""
     spark = docs.sparkSession
-    hist = reps.select("doc_id", "n", "hist")
+    pairs = cut(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("__end")).union(pairs.select("b")).distinct()
+    hist = cut(reps.join(small(cut(ends)), F.col("doc_id") == F.col("__end"), "left_semi").select("doc_id", "n", "hist"))
     both = pairs.join(hist.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("hist").alias("ah")), "a").join(hist.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("hist").alias("bh")), "b")
     most = F.aggregate(F.zip_with("ah", "bh", lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda x, y: x + y)
     may = (F.size("ah") == 0) | (F.size("bh") == 0) | (most * (num + den) >= (F.col("an") + F.col("bn")) * num)  # sets too large for a histogram have none
-    pairs = cut(both.where(may).select("a", "b").distinct())
+    pairs = cut(both.where(may).select("a", "b"))
     ids = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = own.join(small(cut(ids)), F.col("doc_id") == F.col("__id"), "left_semi")
@@ -188,29 +252,35 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     classes = cut(named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     # every row but its class's representative is a copy: these are left out, by broadcast where few enough
     copies = named.select("n", "h1", "h2", "doc_id").join(classes, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("__copy"), F.col("h1").alias("__h1"))
-    reps = named.join(small(cut(copies)), (F.col("doc_id") == F.col("__copy")) & (F.col("h1") == F.col("__h1")), "left_anti").select("doc_id", "n", "pre", "expected", "hist")
+    reps = named.join(small(cut(copies)), (F.col("doc_id") == F.col("__copy")) & (F.col("h1") == F.col("__h1")), "left_anti").select("doc_id", "n", "pre", "cold", "hist")
     entries = postings(reps, boundary(reps, num, den), num, den)
 
-    shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    met = cut(entries.join(shared.hint("shuffle_hash"), "key"))
-    lists = met.groupBy("key").agg(F.min("doc").alias("hub"), F.min(F.col("doc").bitwiseXOR(F.lit(_FLIP))).alias("flipped"))
-    lists = lists.select("key", F.explode(F.array_distinct(F.array("hub", F.col("flipped").bitwiseXOR(F.lit(_FLIP))))).alias("doc"))
+    scanned = cut(scan_lists(entries.where(~F.col("hot")), num, den))
+    light = scanned.where("n is null").select("a", "b")
+    long_ = scanned.where("n is not null").select(F.col("a").alias("key"), F.col("b").alias("doc"), "n", "rem")
+    met = cut(entries.where("hot").select("key", "doc", "n", F.col("rem").cast("long").alias("rem")).unionByName(long_))
 
-    hubs = met.join(lists, ["key", "doc"]).select(F.col("key").alias("hkey"), F.col("doc").alias("hdoc"), F.col("n").alias("hn"), F.col("rem").alias("hrem"))
+    lists = cut(met.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi"))
+    hub = lists.select("key", F.explode(F.array("lo", "hi")).alias("doc"))
+    hubs = met.join(hub, ["key", "doc"]).select(F.col("key").alias("hkey"), F.col("doc").alias("hdoc"), F.col("n").alias("hn"), F.col("rem").alias("hrem"))
     meeting = met.join(hubs, (F.col("key") == F.col("hkey")) & (F.col("doc") != F.col("hdoc")) & _may(F.col("n"), F.col("hn"), F.col("rem"), F.col("hrem"), num, den))
-    first = cut(meeting.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b")).distinct())
+    first = cut(meeting.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b")).unionByName(light).distinct())
     links = verify(first, reps, docs, doc_id, text, k, num, den)
 
-    known = components(links)
-    own = met.join(known, F.col("doc") == F.col("id"), "left").select("key", "doc", "n", "rem", F.coalesce("component", "doc").alias("comp"))
+    # lists of up to three entries are done: each of their pairs has a hub. Of the others, entries are contracted to the smallest they link with
+    both = links.select("a", "b").union(links.select("b", "a"))
+    one = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    known = one.join(one.select(F.col("a").alias("x"), F.col("m").alias("mm")), F.col("m") == F.col("x"), "left").select(F.col("a").alias("id"), F.least("m", F.coalesce("mm", "m")).alias("component"))
+    own = met.join(lists.where("c > 3").select("key"), "key", "left_semi").join(known, F.col("doc") == F.col("id"), "left").select("key", "doc", "n", "rem", F.coalesce("component", "doc").alias("comp"))
+    own = cut(own)
     per = own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    own = cut(own.join(per, "key"))
+    own = own.join(per, "key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("long")
     strays = own.where("comp <> main").select("key", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("doc").alias("sdoc"), F.col("n").alias("sn"), F.col("rem").alias("srem"), F.col("comp").alias("scomp"))
     others = own.select(F.col("key").alias("okey"), band.alias("oband"), "doc", "n", "rem", "comp")
     cross = others.join(strays, (F.col("okey") == F.col("key")) & (F.col("oband") == F.col("band")) & (F.col("comp") != F.col("scomp")) & _may(F.col("n"), F.col("sn"), F.col("rem"), F.col("srem"), num, den))
     rest = cross.select(F.least("doc", "sdoc").alias("a"), F.greatest("doc", "sdoc").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(cut(rest), reps, docs, doc_id, text, k, num, den))
+    links = links.unionByName(verify(rest, reps, docs, doc_id, text, k, num, den))
 
     member = signed.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
     member = cut(member)
