@@ -11,11 +11,12 @@ there are. Documents are never shuffled, so no key can be hot.
 
 Edge cases: a null or empty text has no words and no hits; a null item text gives no window; repeated
 items count apart under their own ids; a null item id is listed as the empty string; extra columns stay
-as they are, and `into` names the one column that is added.
+as they are, and `into` names the one column that is added, in place of an earlier one of that name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,22 +196,22 @@ def _mark(docs: DataFrame, text: str, into: str, win: Windows, former: str | Non
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, into: str = "contamination", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with a struct column `into`: words, hit words, ids of the items with occurring windows, hit spans (in words)."""
-    former, k = None, 0
+    former = None
     ids: list[str] = []
     texts: list[str | None] = []
     held = 0
 
     def add() -> None:
-        nonlocal docs, former, k, ids, texts, held
+        nonlocal docs, former, ids, texts, held
         win = Windows(ids, texts, window)
         if len(win.at) or former is None:
             win.order(_frequencies(plain, text, win) if win.sizes else {})
-            name = f"{into}_{k}"
+            name = f"__{into}_{uuid.uuid4().hex}"
             docs = _mark(docs, text, name, win, former)
-            former, k = name, k + 1
+            former = name
         ids, texts, held = [], [], 0
 
-    plain = docs
+    docs = plain = docs.drop(into)
     source = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     for row in source.toLocalIterator():  # a block at a time is held here
         ids.append(row.i)
