@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
 
 ROUNDS = 60
+#: Edges that one task may join up by itself, counted first: some 50 MB there. More go the distributed way.
+ONE_TASK = 200_000
+
+
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of a partition; the smaller root wins, so a root is its component's smallest id."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["id", "component"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(a long, b long) -> (id, component): the smallest id reachable, for every id that has an edge.
 
     Each round every node hooks to the smallest of itself and its neighbours, chains are shortened, and
     the edges are carried over to what their ends hook to. Minima are taken in each task before the
-    shuffle, so a node with very many edges is no hot key. Self-loops and repeated edges do no harm.
+    shuffle, so a node with very many edges is no hot key. Few edges are joined up in one task. Self-loops and repeated edges do no harm.
     """
     left = cut(edges.select("a", "b").where("a <> b").distinct())
+    if left.count() <= one_task:
+        return cut(left.coalesce(1).mapInArrow(_join_up, "id long, component long"))
     label = cut(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("component", F.col("id")))
     for _ in range(ROUNDS):
         if left.isEmpty():

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows, cut, shuffle_width, small, worker_runs
+from lodestone.llm.common import arrow_rows, cut, packed, shuffle_width, small, small_bytes, worker_runs
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import mix, shingle_sets, string_buffers
 
@@ -50,6 +50,8 @@ ENTRY_COST = 3.0
 LIGHT = 16
 BOUNDARIES = (0, 6, 8, 10, 13, 16, 20, 26, 34, 44, 56, 72, 96, 128)
 TEXT_ROWS = 2000
+#: Histograms that may be broadcast: some 20 MB.
+HIST_ROWS = 100_000
 SET_ROWS = 200
 _FLIP = 0x5555555555555555
 
@@ -207,13 +209,13 @@ def _may(a_n: Column, b_n: Column, a_rem: Column, b_rem: Column, num: int, den:
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) that link, with their overlap."""
     spark = docs.sparkSession
-    pairs = cut(pairs.distinct())
+    pairs = packed(pairs.distinct())
     ends = pairs.select(F.col("a").alias("__end")).union(pairs.select("b")).distinct()
-    hist = cut(reps.join(small(cut(ends)), F.col("doc_id") == F.col("__end"), "left_semi").select("doc_id", "n", "hist"))
+    hist = small(packed(reps.join(small(cut(ends)), F.col("doc_id") == F.col("__end"), "left_semi").select("doc_id", "n", "hist")), HIST_ROWS)
     both = pairs.join(hist.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("hist").alias("ah")), "a").join(hist.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("hist").alias("bh")), "b")
     most = F.aggregate(F.zip_with("ah", "bh", lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda x, y: x + y)
     may = (F.size("ah") == 0) | (F.size("bh") == 0) | (most * (num + den) >= (F.col("an") + F.col("bn")) * num)  # sets too large for a histogram have none
-    pairs = cut(both.where(may).select("a", "b"))
+    pairs = packed(both.where(may).select("a", "b"))
     ids = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = own.join(small(cut(ids)), F.col("doc_id") == F.col("__id"), "left_semi")
@@ -236,10 +238,10 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(overlap, pa.int64())], names=["a", "b", "overlap"])
 
     with arrow_rows(spark, TEXT_ROWS):
-        held = cut(own.mapInArrow(sets, "doc_id long, s binary"))
+        held = small_bytes(cut(own.mapInArrow(sets, "doc_id long, s binary")), "s")
     full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
     with arrow_rows(spark, SET_ROWS):
-        return cut(full.mapInArrow(compare, "a long, b long, overlap long"))
+        return packed(full.mapInArrow(compare, "a long, b long, overlap long"))
 
 
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -258,20 +260,20 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     scanned = cut(scan_lists(entries.where(~F.col("hot")), num, den))
     light = scanned.where("n is null").select("a", "b")
     long_ = scanned.where("n is not null").select(F.col("a").alias("key"), F.col("b").alias("doc"), "n", "rem")
-    met = cut(entries.where("hot").select("key", "doc", "n", F.col("rem").cast("long").alias("rem")).unionByName(long_))
+    met = packed(entries.where("hot").select("key", "doc", "n", F.col("rem").cast("long").alias("rem")).unionByName(long_))
 
-    lists = cut(met.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi"))
+    lists = packed(met.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi"))
     hub = lists.select("key", F.explode(F.array("lo", "hi")).alias("doc"))
     hubs = met.join(hub, ["key", "doc"]).select(F.col("key").alias("hkey"), F.col("doc").alias("hdoc"), F.col("n").alias("hn"), F.col("rem").alias("hrem"))
     meeting = met.join(hubs, (F.col("key") == F.col("hkey")) & (F.col("doc") != F.col("hdoc")) & _may(F.col("n"), F.col("hn"), F.col("rem"), F.col("hrem"), num, den))
-    first = cut(meeting.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b")).unionByName(light).distinct())
+    first = packed(meeting.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b")).unionByName(light).distinct())
     links = verify(first, reps, docs, doc_id, text, k, num, den)
 
     # lists of up to three entries are done: each of their pairs has a hub. Of the others, entries are contracted to the smallest they link with
     both = links.select("a", "b").union(links.select("b", "a"))
-    one = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    one = packed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     known = one.join(one.select(F.col("a").alias("x"), F.col("m").alias("mm")), F.col("m") == F.col("x"), "left").select(F.col("a").alias("id"), F.least("m", F.coalesce("mm", "m")).alias("component"))
-    own = met.join(lists.where("c > 3").select("key"), "key", "left_semi").join(known, F.col("doc") == F.col("id"), "left").select("key", "doc", "n", "rem", F.coalesce("component", "doc").alias("comp"))
+    own = met.join(small(lists.where("c > 3").select("key")), "key", "left_semi").join(small(known), F.col("doc") == F.col("id"), "left").select("key", "doc", "n", "rem", F.coalesce("component", "doc").alias("comp"))
     own = cut(own)
     per = own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     own = own.join(per, "key")
@@ -288,5 +290,5 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     same = member.join(several, "doc_id", "left_semi").select("doc_id", F.col("class_id").alias("b"))
     edges = links.select("a", "b").union(same.select(F.col("doc_id").alias("a"), "b"))
     final = components(edges)
-    out = member.join(final, F.col("class_id") == F.col("id"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    out = member.join(small(final), F.col("class_id") == F.col("id"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return out, links

@@ -80,6 +80,8 @@ def test_components(spark):
     for _ in range(300):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.id: r.component for r in components(table).collect()}
+    assert got == {r.id: r.component for r in components(table, one_task=0).collect()}
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {k: v for k, v in label.items() if k not in alone}
