@@ -144,7 +144,7 @@ def postings(reps: DataFrame, b: int, num: int, den: int) -> DataFrame:
 
 
 def scan_lists(entries: DataFrame, num: int, den: int, light: int = LIGHT) -> DataFrame:
-    """(a, b, n, rem) of entries dealt and sorted by key: pairs (a, b) of short lists that may link, with n null; entries (key, doc, n, rem) of long ones as they are."""
+    """(a, b, n, rem) of entries dealt and sorted by key: pairs (a, b) of short lists that may link, with n null and in rem how often they met; entries (key, doc, n, rem) of long ones as they are."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_runs("ngramjoin")
@@ -165,9 +165,8 @@ def scan_lists(entries: DataFrame, num: int, den: int, light: int = LIGHT) -> Da
                         a.append(np.minimum(x[1], y[1])[ok])
                         b.append(np.maximum(x[1], y[1])[ok])
             if a:
-                both = np.unique(np.column_stack((np.concatenate(a), np.concatenate(b))), axis=0)
-                none = pa.nulls(len(both), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), none, none], names=names)
+                both, times = np.unique(np.column_stack((np.concatenate(a), np.concatenate(b))), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.nulls(len(both), pa.int64()), pa.array(times.astype(np.int64))], names=names)
 
         held = np.zeros((4, 0), np.int64)
         long_key = None  # the key of a list that is already known to be long
@@ -244,6 +243,15 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text
         return packed(full.mapInArrow(compare, "a long, b long, overlap long"))
 
 
+def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component of known (id, component)."""
+    known = small(known)
+    one = known.select(F.col("id").alias("__a"), F.col("component").alias("__ca"))
+    two = known.select(F.col("id").alias("__b"), F.col("component").alias("__cb"))
+    both = pairs.join(one, F.col("a") == F.col("__a"), "left").join(two, F.col("b") == F.col("__b"), "left")
+    return both.where(F.coalesce("__ca", "a") != F.coalesce("__cb", "b")).select("a", "b")
+
+
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(per row doc_id, n_shingles, class_id, component_id; verified links a, b, overlap between classes that span the components)."""
     spark = docs.sparkSession
@@ -258,7 +266,7 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     entries = postings(reps, boundary(reps, num, den), num, den)
 
     scanned = cut(scan_lists(entries.where(~F.col("hot")), num, den))
-    light = scanned.where("n is null").select("a", "b")
+    light = scanned.where("n is null").select("a", "b", F.col("rem").alias("times"))
     long_ = scanned.where("n is not null").select(F.col("a").alias("key"), F.col("b").alias("doc"), "n", "rem")
     met = packed(entries.where("hot").select("key", "doc", "n", F.col("rem").cast("long").alias("rem")).unionByName(long_))
 
@@ -266,13 +274,15 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     hub = lists.select("key", F.explode(F.array("lo", "hi")).alias("doc"))
     hubs = met.join(hub, ["key", "doc"]).select(F.col("key").alias("hkey"), F.col("doc").alias("hdoc"), F.col("n").alias("hn"), F.col("rem").alias("hrem"))
     meeting = met.join(hubs, (F.col("key") == F.col("hkey")) & (F.col("doc") != F.col("hdoc")) & _may(F.col("n"), F.col("hn"), F.col("rem"), F.col("hrem"), num, den))
-    first = packed(meeting.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b")).unionByName(light).distinct())
-    links = verify(first, reps, docs, doc_id, text, k, num, den)
-
-    # lists of up to three entries are done: each of their pairs has a hub. Of the others, entries are contracted to the smallest they link with
-    both = links.select("a", "b").union(links.select("b", "a"))
-    one = packed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-    known = one.join(one.select(F.col("a").alias("x"), F.col("m").alias("mm")), F.col("m") == F.col("x"), "left").select(F.col("a").alias("id"), F.least("m", F.coalesce("mm", "m")).alias("component"))
+    met_hub = meeting.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b"), F.lit(1).cast("long").alias("times"))
+    first = packed(met_hub.unionByName(light).groupBy("a", "b").agg(F.sum("times").alias("times")))
+    # each document is held against the one it met most often, then against others of other components alone
+    best = first.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+    links = verify(best, reps, docs, doc_id, text, k, num, den)
+    links = links.unionByName(verify(apart(first.select("a", "b"), components(links)), reps, docs, doc_id, text, k, num, den))
+
+    # lists of up to three entries are done: each of their pairs has a hub
+    known = components(links)
     own = met.join(small(lists.where("c > 3").select("key")), "key", "left_semi").join(small(known), F.col("doc") == F.col("id"), "left").select("key", "doc", "n", "rem", F.coalesce("component", "doc").alias("comp"))
     own = cut(own)
     per = own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
