@@ -83,7 +83,7 @@ def test_store(spark, tmp_path):
     assert store.reindex(["repos", "files"]) == {"repos": 3} and store.version("repos") == 4
     store.prune("repos", keep=1)
     assert store.read("repos").count() == 3
-    assert T.lookup(now, spark.createDataFrame([("a",), ("zz",)], "repo_id string"), "repo_id", ["n"]).where("n is null").count() == 1
+    assert T.lookup(store.read("repos"), spark.createDataFrame([("a",), ("zz",)], "repo_id string"), "repo_id", ["n"]).where("n is null").count() == 1
 
 
 def test_full_index_replaces_files(spark, tmp_path):
