@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_code_point, cut
+from lodestone.llm.common import by_code_point, cut, small
 
 BITS, LEVELS = 10, 6
 WEIGHTS = (3, 1, 2)
@@ -100,7 +100,7 @@ def copies_of(plan: DataFrame, docs: DataFrame, *, doc_id: str = "doc_id", sourc
     """docs with every document as often as the mix takes it; its columns stay as they are."""
     names = docs.columns
     plan = plan.select(*(F.col(c).alias(f"__mix_{c}") for c in ("source", "copies", "below")))
-    out = docs.join(plan, F.col(source).eqNullSafe(F.col("__mix_source")), "left")
+    out = docs.join(small(plan), F.col(source).eqNullSafe(F.col("__mix_source")), "left")
     n = F.col("__mix_copies") + (hash60(F.col(doc_id)) < F.col("__mix_below")).cast("long")
     return out.where(n > 0).withColumn("__mix_n", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*names)
 
@@ -110,4 +110,4 @@ def mix_sources(docs: DataFrame, **how) -> DataFrame:
     narrow, plan = mix_plan(docs, **how)
     plan = plan.withColumnRenamed("source", "s")
     taken = F.col("size") * (F.col("copies") + (F.col("h") < F.col("below")).cast("long"))
-    return narrow.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return narrow.join(small(plan), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
