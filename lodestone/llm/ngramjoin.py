@@ -19,7 +19,7 @@ of their sets is at least num / den.
    contracted. Then only entries outside their list's main component meet the entries of other
    components, dealt by length. A group of near copies thus costs in proportion to its size, and these
    lists are handled by sums and joins that can be split.
-6. Candidates pass an upper bound by 64-bin histograms and are then verified on the whole sets, which
+6. Candidates pass an upper bound by histograms of about eight shingles a bin and are then verified on the whole sets, which
    are made again from the whole texts of the candidates alone.
 
 Ids are integers. Edge cases: a null or empty text, or one without words, has an empty set and links with
@@ -43,14 +43,14 @@ from lodestone.llm.wordhash import mix, shingle_sets, string_buffers
 
 #: How many of the most frequent shingles the order by rarity knows; the others count as equally rare.
 HEAVY = 100_000
-BINS = 64
+BINS, PER_BIN = 64, 8
 #: Cost of an entry in a shared list, in subsets or postings written: it meets two hubs.
 ENTRY_COST = 3.0
 #: Entries of a list that are paired as they stream by.
 LIGHT = 16
 BOUNDARIES = (0, 6, 8, 10, 13, 16, 20, 26, 34, 44, 56, 72, 96, 128)
 TEXT_ROWS = 2000
-#: Histograms that may be broadcast: some 20 MB.
+#: Histograms that may be broadcast: some 40 MB.
 HIST_ROWS = 100_000
 SET_ROWS = 200
 _FLIP = 0x5555555555555555
@@ -60,6 +60,14 @@ def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def _bins(n: int) -> int:
+    """Bins of a set's histogram: BINS, doubled until no more than PER_BIN shingles come on one. No bin then nears 32767."""
+    out = BINS
+    while out * PER_BIN < n:
+        out *= 2
+    return out
+
+
 def heavy_shingles(texts: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (sorted) and in how many documents they were met. Shingles that no part of the input holds three times are left out."""
 
@@ -111,7 +119,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: i
                     first = np.lexsort((s, freq))[: _prefix(len(s), num, den) + 1] if len(s) else np.zeros(0, np.int64)
                     pre.append(s[first].view(np.int64))
                     cold.append(int((freq[first] == 0).sum()))
-                    hist.append(np.bincount((s >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype(np.int16) if len(s) <= 32767 else np.zeros(0, np.int16))
+                    bins = _bins(len(s))
+                    hist.append(np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % bins, minlength=bins), 32767).astype(np.int16))
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)), pa.array(np.concatenate(part) if part else [], kind)) for part, kind in ((pre, pa.int64()), (hist, pa.int16()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists[0], pa.array(cold, pa.int32()), lists[1]], names=["doc_id", "n", "h1", "h2", "pre", "cold", "hist"])
 
@@ -212,8 +221,11 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text
     ends = pairs.select(F.col("a").alias("__end")).union(pairs.select("b")).distinct()
     hist = small(packed(reps.join(small(cut(ends)), F.col("doc_id") == F.col("__end"), "left_semi").select("doc_id", "n", "hist")), HIST_ROWS)
     both = pairs.join(hist.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("hist").alias("ah")), "a").join(hist.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("hist").alias("bh")), "b")
-    most = F.aggregate(F.zip_with("ah", "bh", lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda x, y: x + y)
-    may = (F.size("ah") == 0) | (F.size("bh") == 0) | (most * (num + den) >= (F.col("an") + F.col("bn")) * num)  # sets too large for a histogram have none
+    # of two histograms the finer is folded to the bins of the other; sets that may link differ by one doubling at most
+    bins = F.least(F.size("ah"), F.size("bh"))
+    fold = lambda h: F.when(F.size(h) > bins, F.zip_with(F.slice(h, 1, bins), F.slice(h, bins + 1, bins), lambda x, y: x.cast("int") + y.cast("int"))).otherwise(F.col(h).cast("array<int>"))
+    most = F.aggregate(F.zip_with(fold("ah"), fold("bh"), lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda x, y: x + y)
+    may = most * (num + den) >= (F.col("an") + F.col("bn")) * num
     pairs = packed(both.where(may).select("a", "b"))
     ids = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
