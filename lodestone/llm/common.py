@@ -91,9 +91,3 @@ def packed(df: DataFrame) -> DataFrame:
     """df computed, in as few partitions as its rows need, so that what follows starts no empty tasks."""
     df = cut(df)
     return df.coalesce(max(1, -(-df.count() // PACK_ROWS)))
-
-
-def small_bytes(df: DataFrame, column: str, limit: int = 32 << 20) -> DataFrame:
-    """df marked for broadcast if what its column holds, summed first, is within limit."""
-    total = df.agg(F.coalesce(F.sum(F.octet_length(column) + 16), F.lit(0)).alias("t")).first().t
-    return F.broadcast(df) if total <= limit else df

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows, cut, packed, shuffle_width, small, small_bytes, worker_runs
+from lodestone.llm.common import arrow_rows, cut, packed, shuffle_width, small, worker_runs
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import mix, shingle_sets, string_buffers
 
@@ -249,7 +249,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(overlap, pa.int64())], names=["a", "b", "overlap"])
 
     with arrow_rows(spark, TEXT_ROWS):
-        held = small_bytes(cut(own.mapInArrow(sets, "doc_id long, s binary")), "s")
+        held = cut(own.mapInArrow(sets, "doc_id long, s binary"))
     full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
     with arrow_rows(spark, SET_ROWS):
         return packed(full.mapInArrow(compare, "a long, b long, overlap long"))
