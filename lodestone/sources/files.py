@@ -17,7 +17,7 @@ CHANGE = "struct<old_path:string,new_path:string,new_file:boolean,deleted_file:b
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, size_bytes, raw) of every file below root."""
+    """(file_path, size_bytes, raw) of every file below root. Empty files, which have no chunks, are passed over by Spark's reader."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
     at = F.locate(base, F.col("path"))
