@@ -2,9 +2,10 @@
 
 A page is cut into blocks at block-level tags. Each block has its number of words, the share of its words
 inside links, the same of the block before and after it, and what encloses it: the article or main
-element, a heading, and whether a container around it is furniture (navigation, header, footer, aside,
-form, or an element whose class, id or role says so). A decision tree (CART by Gini impurity) tells main
-text from the rest. It is trained on the small labelled table below whenever the operator is set up; the
+element, a heading, whether a container around it is furniture (navigation, header, footer, aside, form,
+or hidden), and whether one is marked as such by its class, id or role alone. A mark is whole tokens, is
+weighed with the rest, and ends at an article or main element. A decision tree (CART by Gini impurity)
+tells main text from the rest. It is trained on the small labelled table below whenever the operator is set up; the
 table's rows are blocks of pages written for this purpose, with and without an article element.
 
 Edge cases: a null or empty page, or one without main text, gives the empty text; markup that is cut
@@ -31,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FURNITURE = frozenset("nav header footer aside form menu dialog fieldset search".split())
 #: Elements that end where another of the group begins.
 ENDS_AT = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
-#: Words of a class, id or role that mark furniture.
+#: Whole tokens of a class, id or role that mark furniture.
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs"
     " header masthead topbar footer bottombar sidebar aside rail widget widgets related recommended recommendations trending popular social share sharing comment comments respond discussion disqus replies reply"
@@ -40,10 +41,15 @@ MARKED = frozenset(
 )
 #: Those that say nothing inside an article: its own heading may be in a header.
 IN_ARTICLE = frozenset("header masthead".split())
+#: What a token may have beside marks and still be one: site-header, sidebar-left, comments-area.
+BESIDE_MARKS = frozenset("site page global top bottom left right primary secondary main inner area list box bar block links wrapper container".split())
+#: Those that title sections of a text as well: as an id they say nothing inside an article, or on a heading.
+TITLES = frozenset("advertising alert copyright disclaimer discussion form header legal menu navigation notice notices notification notifications overlay popular promotion recommendations related replies search sharing social subscription tags trending".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_PART = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_PART = re.compile(r"[^\W\d_]+|\d+")
 _SPACE = re.compile(r"[\s\x00]+")
 
 
@@ -55,43 +61,51 @@ class Block:
     in_article: bool
     heading: bool
     furniture: bool
+    marked: bool
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE and not (tag == "header" and in_article):
-        return True
+def _is_mark(token: str, mute: frozenset[str]) -> bool:
+    """Whether all words of a token are marks or may stand beside them, and one is a mark that is not mute."""
+    parts = {*_PART.findall(token)}
+    return parts <= MARKED | BESIDE_MARKS and bool(parts & MARKED - mute)
+
+
+def _signs(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture by its tag or hidden, and whether its class, id or role marks it."""
+    furniture = tag in FURNITURE and not (tag == "header" and in_article)
     if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    for m in _MARK.finditer(attributes):
+        return furniture, False
+    mute = IN_ARTICLE if in_article else frozenset()
+    marked = False
+    for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role"):
-            parts = _PART.findall(value)
-            marked = MARKED & {*parts} - (IN_ARTICLE if in_article else frozenset())
-            if tag not in ("body", "html", "article", "main") and marked:
-                return True
-    return False
+            furniture = True
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            furniture = True
+        elif name in ("class", "role"):
+            marked = marked or any(_is_mark(x, mute) for x in value.split())
+        elif name == "id":
+            marked = marked or _is_mark(value.strip(), mute | TITLES if in_article or tag in HEADINGS else mute)
+    return furniture, marked and tag not in ("body", "html")
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, furniture, article, link, skipped: of it and all around it
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, furniture, marked, article, link, skipped: of it and all around it
     held: list[str] = []
     words = linked = 0
-    state: tuple[bool, bool] = (False, False)
+    state: tuple[bool, bool, bool] = (False, False, False)
 
-    def top() -> tuple[str, bool, bool, bool, bool]:
-        return stack[-1] if stack else ("", False, False, False, False)
+    def top() -> tuple[str, bool, bool, bool, bool, bool]:
+        return stack[-1] if stack else ("", False, False, False, False, False)
 
     def flush() -> None:
         nonlocal held, words, linked
         text = _SPACE.sub(" ", "".join(held)).strip()
         if text:
-            out.append(Block(text, max(words, 1), linked, state[1], any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-4:]), state[0]))
+            out.append(Block(text, max(words, 1), linked, state[2], any(s[0] in HEADINGS for s in stack[-4:]), state[0], state[1]))
         held, words, linked = [], 0, 0
 
     raw = ""
@@ -108,15 +122,15 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             piece = m[0]
-            if piece[:2] in ("<!", "<?") or top()[4]:
+            if piece[:2] in ("<!", "<?") or top()[5]:
                 continue
             if "&" in piece:
                 piece = html.unescape(piece)
-            state = (top()[1], top()[2])
+            state = top()[1:4]
             held.append(piece)
             k = len(piece.split())
             words += k
-            linked += k * top()[3]
+            linked += k * top()[4]
             continue
         if m[1]:
             if tag in BLOCK:
@@ -140,22 +154,25 @@ def blocks(page: str) -> list[Block]:
             held.append(" ")
         if tag in VOID:
             continue
-        _, furniture, article, link, skipped = top()
+        _, furniture, marked, article, link, skipped = top()
         if tag in ("script", "style", "noscript", "template", "textarea", "title", "iframe"):
             raw = tag
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
             raw = ""
             continue
-        article = article or tag in ("article", "main")
-        stack.append((tag, furniture or _is_furniture(tag, m[3], article and tag not in ("article", "main")), article, link or tag == "a", skipped or tag in SKIP))
+        whole = tag in ("article", "main")
+        own = _signs(tag, m[3], article and not whole)
+        # a mark ends at an article or main element, unless that has one as well: a comment among comments
+        marked = marked and own[1] if whole else marked or own[1]
+        stack.append((tag, furniture or own[0], marked, article or whole, link or tag == "a", skipped or tag in SKIP))
     flush()
     return out
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
-    """Per block: words, link density, those of its neighbours, article, heading, furniture, whether the page has an article."""
+    """Per block: words, link density, those of its neighbours, article, heading, furniture, mark, whether the page has an article."""
     density = [b.linked / b.words for b in found]
-    page = float(any(b.in_article and not b.furniture for b in found))
+    page = float(any(b.in_article and not b.furniture and not b.marked for b in found))
     out = []
     for i, b in enumerate(found):
         before, after = (i - 1, i + 1) if len(found) > 1 else (-1, len(found))
@@ -170,6 +187,7 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
                 float(b.in_article),
                 float(b.heading),
                 float(b.furniture),
+                float(b.marked),
                 page,
             )
         )
@@ -177,55 +195,80 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
 
 
 #: The labelled table: words, link density, words and link density of the block before and after, in an
-#: article, heading, furniture, page with an article, and whether the block is main text. Fixed values.
+#: article, heading, furniture, mark, page with an article, and whether the block is main text. Fixed values.
 LABELLED = [
     # pages with an article: whatever stands in it, long or short, linked or not
-    (120, 0.0, 8, 0.0, 90, 0.0, 1, 0, 0, 1, 1),
-    (8, 0.0, 1, 1.0, 120, 0.0, 1, 1, 0, 1, 1),
-    (1, 0.0, 80, 0.0, 60, 0.0, 1, 0, 0, 1, 1),
-    (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 0, 1, 1),
-    (45, 0.3, 100, 0.0, 20, 0.0, 1, 0, 0, 1, 1),
-    (6, 1.0, 60, 0.0, 40, 0.0, 1, 0, 0, 1, 1),
-    (15, 0.0, 3, 0.0, 9, 0.4, 1, 0, 0, 1, 1),
-    (300, 0.02, 12, 0.0, 5, 0.0, 1, 0, 0, 1, 1),
+    (120, 0.0, 8, 0.0, 90, 0.0, 1, 0, 0, 0, 1, 1),
+    (8, 0.0, 1, 1.0, 120, 0.0, 1, 1, 0, 0, 1, 1),
+    (1, 0.0, 80, 0.0, 60, 0.0, 1, 0, 0, 0, 1, 1),
+    (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 0, 0, 1, 1),
+    (45, 0.3, 100, 0.0, 20, 0.0, 1, 0, 0, 0, 1, 1),
+    (6, 1.0, 60, 0.0, 40, 0.0, 1, 0, 0, 0, 1, 1),
+    (15, 0.0, 3, 0.0, 9, 0.4, 1, 0, 0, 0, 1, 1),
+    (300, 0.02, 12, 0.0, 5, 0.0, 1, 0, 0, 0, 1, 1),
     # the rest of such pages
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 9, 0.0, 0, 0, 1, 1, 0),
-    (9, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 1, 0),
-    (14, 0.0, 70, 0.0, 0, 0.0, 0, 0, 1, 1, 0),
-    (60, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1, 1, 0),
-    (40, 0.0, 60, 0.0, 3, 1.0, 1, 0, 1, 1, 0),
-    (5, 0.0, 90, 0.0, 20, 0.1, 1, 1, 1, 1, 0),
-    (20, 0.1, 5, 0.0, 20, 0.1, 1, 0, 1, 1, 0),
-    (12, 0.0, 90, 0.0, 4, 1.0, 0, 0, 0, 1, 0),
-    (35, 0.0, 1, 1.0, 100, 0.0, 0, 0, 0, 1, 0),
-    (4, 1.0, 4, 1.0, 4, 1.0, 0, 0, 0, 1, 0),
-    (3, 0.0, 0, 0.0, 20, 0.0, 0, 1, 0, 1, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0, 1, 0),
+    (1, 1.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 1, 0),
+    (9, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 0, 1, 0),
+    (14, 0.0, 70, 0.0, 0, 0.0, 0, 0, 1, 0, 1, 0),
+    (60, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1, 0, 1, 0),
+    (40, 0.0, 60, 0.0, 3, 1.0, 1, 0, 1, 0, 1, 0),
+    (5, 0.0, 90, 0.0, 20, 0.1, 1, 1, 1, 0, 1, 0),
+    (20, 0.1, 5, 0.0, 20, 0.1, 1, 0, 1, 0, 1, 0),
+    (12, 0.0, 90, 0.0, 4, 1.0, 0, 0, 0, 0, 1, 0),
+    (35, 0.0, 1, 1.0, 100, 0.0, 0, 0, 0, 0, 1, 0),
+    (4, 1.0, 4, 1.0, 4, 1.0, 0, 0, 0, 0, 1, 0),
+    (3, 0.0, 0, 0.0, 20, 0.0, 0, 1, 0, 0, 1, 0),
     # pages without one: running text and the headings and short lines beside it
-    (110, 0.0, 9, 0.0, 80, 0.0, 0, 0, 0, 0, 1),
-    (60, 0.05, 110, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (25, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1),
-    (18, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
-    (30, 0.2, 20, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 90, 0.0, 0, 1, 0, 0, 1),
-    (4, 0.0, 50, 0.0, 60, 0.0, 0, 1, 0, 0, 1),
-    (5, 0.0, 70, 0.0, 45, 0.0, 0, 0, 0, 0, 1),
-    (1, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 1, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
-    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (110, 0.0, 9, 0.0, 80, 0.0, 0, 0, 0, 0, 0, 1),
+    (60, 0.05, 110, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1),
+    (25, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1),
+    (18, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1),
+    (30, 0.2, 20, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 1),
+    (7, 0.0, 2, 1.0, 90, 0.0, 0, 1, 0, 0, 0, 1),
+    (4, 0.0, 50, 0.0, 60, 0.0, 0, 1, 0, 0, 0, 1),
+    (5, 0.0, 70, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1),
+    (1, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 0, 0, 1),
+    (3, 0.0, 1, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
+    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
     # and what is not
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (3, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (12, 0.9, 3, 1.0, 12, 0.9, 0, 0, 0, 0, 0),
-    (40, 0.8, 12, 0.9, 12, 0.9, 0, 0, 0, 0, 0),
-    (6, 0.7, 80, 0.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (8, 1.0, 80, 0.0, 60, 0.0, 0, 0, 0, 0, 0),
-    (20, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
-    (50, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1, 0, 0),
-    (3, 0.0, 4, 1.0, 30, 0.0, 0, 0, 1, 0, 0),
-    (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1, 0, 0),
-    (7, 0.0, 2, 1.0, 60, 0.0, 0, 1, 1, 0, 0),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
+    (3, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0),
+    (12, 0.9, 3, 1.0, 12, 0.9, 0, 0, 0, 0, 0, 0),
+    (40, 0.8, 12, 0.9, 12, 0.9, 0, 0, 0, 0, 0, 0),
+    (6, 0.7, 80, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 0),
+    (8, 1.0, 80, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0),
+    (20, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0),
+    (50, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1, 0, 0, 0),
+    (3, 0.0, 4, 1.0, 30, 0.0, 0, 0, 1, 0, 0, 0),
+    (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 0),
+    (7, 0.0, 2, 1.0, 60, 0.0, 0, 1, 1, 0, 0, 0),
+    # marked, in an article: long text without links stays, short or linked text goes
+    (150, 0.0, 90, 0.0, 80, 0.0, 1, 0, 0, 1, 1, 1),
+    (70, 0.05, 6, 0.0, 60, 0.1, 1, 0, 0, 1, 1, 1),
+    (120, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1, 1, 1),
+    (11, 0.0, 1, 0.0, 6, 0.0, 1, 0, 0, 1, 1, 0),
+    (30, 0.0, 60, 0.0, 3, 1.0, 1, 0, 0, 1, 1, 0),
+    (1, 0.0, 60, 0.0, 11, 0.0, 1, 1, 0, 1, 1, 0),
+    (2, 1.0, 90, 0.0, 60, 0.0, 1, 0, 0, 1, 1, 0),
+    (80, 0.8, 60, 0.0, 40, 0.0, 1, 0, 0, 1, 1, 0),
+    # marked, outside of the article
+    (150, 0.0, 7, 0.0, 110, 0.0, 0, 0, 0, 1, 1, 0),
+    (70, 0.05, 110, 0.0, 60, 0.0, 0, 0, 0, 1, 1, 0),
+    (120, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1, 1, 0),
+    (12, 0.0, 1, 0.0, 90, 0.0, 0, 0, 0, 1, 1, 0),
+    (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1, 1, 0),
+    (5, 0.0, 90, 0.0, 12, 0.0, 0, 1, 0, 1, 1, 0),
+    # marked, on pages without one
+    (150, 0.0, 7, 0.0, 110, 0.0, 0, 0, 0, 1, 0, 1),
+    (70, 0.05, 110, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1),
+    (30, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 0),
+    (9, 0.0, 60, 0.0, 3, 0.0, 0, 0, 0, 1, 0, 0),
+    (3, 0.0, 4, 1.0, 30, 0.0, 0, 0, 0, 1, 0, 0),
+    (4, 1.0, 4, 1.0, 4, 1.0, 0, 0, 0, 1, 0, 0),
+    (5, 0.0, 2, 1.0, 60, 0.0, 0, 1, 0, 1, 0, 0),
+    (100, 0.8, 12, 0.9, 40, 0.0, 0, 0, 0, 1, 0, 0),
 ]
 
 

@@ -83,6 +83,27 @@ def test_odd_pages(page, want):
     assert main_text(page, TREE) == want
 
 
+LONG = " ".join(f"word{i}" for i in range(80))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="layout has-sidebar"><article><p>Short.</p></article></div>', "Short."),
+        ('<div class="sidebar"><main><p>Short.</p></main></div>', "Short."),
+        ('<article><section id="legal-history"><h2 id="related-work">Head</h2><p>Short.</p></section></article>', "Head\nShort."),
+        ('<article><div class="social-science"><p>One.</p></div><section id="discussion"><h2>Discussion</h2><p>Two.</p></section></article>', "One.\nDiscussion\nTwo."),
+        ('<article><p title="the hidden door">One.</p><p data-x=\'a class="ad"\'>Two.</p><p hidden>Three.</p></article>', "One.\nTwo."),
+        (f'<article><p>One.</p><div class="notice"><p>{LONG}</p><p>Two.</p></div></article>', f"One.\n{LONG}"),
+        (f'<div class="widget"><p>{LONG}</p><p>Two.</p></div>', LONG),
+        (f'<article><p>One.</p></article><div class="site-footer"><p>{LONG}</p></div>', "One."),
+        ('<article><p>One.</p><div class="comments"><article class="comment"><p>Two.</p></article></div></article>', "One."),
+    ],
+)
+def test_marks_are_whole_tokens_weighed_with_the_rest(page, want):
+    assert main_text(page, TREE) == want
+
+
 def test_long_pages_take_linear_time():
     import time
 
