@@ -8,6 +8,9 @@ weighed with the rest, and ends at an article or main element. A decision tree (
 tells main text from the rest. It is trained on the small labelled table below whenever the operator is set up; the
 table's rows are blocks of pages written for this purpose, with and without an article element.
 
+What a marked or hidden inline element holds is weighed by itself; the flags of the block around it are
+those of the block-level elements that enclose it.
+
 Edge cases: a null or empty page, or one without main text, gives the empty text; markup that is cut
 short or unclosed is read as far as it goes; repeated rows give repeated results; extra columns stay.
 """
@@ -17,7 +20,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,6 +66,8 @@ class Block:
     heading: bool
     furniture: bool
     marked: bool
+    #: The text in order with what marked or hidden inline elements hold, each piece of those a block of its own; none: the text alone.
+    pieces: list[tuple[str, Block | None]] = field(default_factory=list)
 
 
 def _is_mark(token: str, mute: frozenset[str]) -> bool:
@@ -93,20 +99,32 @@ def _signs(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, furniture, marked, article, link, skipped: of it and all around it
-    held: list[str] = []
-    words = linked = 0
-    state: tuple[bool, bool, bool] = (False, False, False)
+    # tag, furniture, marked, article, link, skipped: of it and all around it; the marked inline element it is in; the first three flags of its block
+    stack: list[tuple[str, bool, bool, bool, bool, bool, object, tuple[bool, bool, bool]]] = []
+    held: list[tuple[str, object, int, int, tuple[bool, bool]]] = []  # text, the marked inline element around it, words, linked, flags
 
-    def top() -> tuple[str, bool, bool, bool, bool, bool]:
-        return stack[-1] if stack else ("", False, False, False, False, False)
+    def top() -> tuple[str, bool, bool, bool, bool, bool, object, tuple[bool, bool, bool]]:
+        return stack[-1] if stack else ("", False, False, False, False, False, None, (False, False, False))
 
     def flush() -> None:
-        nonlocal held, words, linked
-        text = _SPACE.sub(" ", "".join(held)).strip()
-        if text:
-            out.append(Block(text, max(words, 1), linked, state[2], any(s[0] in HEADINGS for s in stack[-4:]), state[0], state[1]))
-        held, words, linked = [], 0, 0
+        nonlocal held
+        around = top()[7]
+        heading = any(s[0] in HEADINGS for s in stack[-4:])
+
+        def block(part: list, flags: tuple[bool, bool]) -> Block:
+            words, linked = sum(h[2] for h in part), sum(h[3] for h in part)
+            return Block(_SPACE.sub(" ", "".join(h[0] for h in part)).strip(), max(words, 1), linked, around[2], heading, *flags)
+
+        runs = [(mark, [*part]) for mark, part in groupby(held, key=lambda h: h[1])]
+        held = []
+        own = block([h for mark, part in runs if mark is None for h in part], around[:2])
+        apart = [(part, None if mark is None else block(part, part[0][4])) for mark, part in runs]
+        if not own.text:
+            out.extend(b for _, b in apart if b is not None and b.text)
+            return
+        if len(runs) > 1:
+            own.pieces = [("".join(h[0] for h in part), b) for part, b in apart]
+        out.append(own)
 
     raw = ""
     at, n = 0, len(page)
@@ -126,17 +144,14 @@ def blocks(page: str) -> list[Block]:
                 continue
             if "&" in piece:
                 piece = html.unescape(piece)
-            state = top()[1:4]
-            held.append(piece)
             k = len(piece.split())
-            words += k
-            linked += k * top()[4]
+            held.append((piece, top()[6], k, k * top()[4], top()[1:3]))
             continue
         if m[1]:
             if tag in BLOCK:
                 flush()
             if tag == "br":
-                held.append(" ")
+                held.append((" ", top()[6], 0, 0, top()[1:3]))
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if tag not in BLOCK and any(s[0] in BLOCK for s in stack[i + 1 :]):
@@ -151,10 +166,10 @@ def blocks(page: str) -> list[Block]:
             while stack and stack[-1][0] in ENDS_AT and tag in ENDS_AT[stack[-1][0]]:
                 stack.pop()
         elif tag == "br":
-            held.append(" ")
+            held.append((" ", top()[6], 0, 0, top()[1:3]))
         if tag in VOID:
             continue
-        _, furniture, marked, article, link, skipped = top()
+        _, furniture, marked, article, link, skipped, mark, around = top()
         if tag in ("script", "style", "noscript", "template", "textarea", "title", "iframe"):
             raw = tag
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
@@ -164,7 +179,12 @@ def blocks(page: str) -> list[Block]:
         own = _signs(tag, m[3], article and not whole)
         # a mark ends at an article or main element, unless that has one as well: a comment among comments
         marked = marked and own[1] if whole else marked or own[1]
-        stack.append((tag, furniture or own[0], marked, article or whole, link or tag == "a", skipped or tag in SKIP))
+        furniture, article = furniture or own[0], article or whole
+        if tag in BLOCK:
+            mark, around = None, (furniture, marked, article)
+        elif own[0] or own[1] and mark is None:
+            mark = object()
+        stack.append((tag, furniture, marked, article, link or tag == "a", skipped or tag in SKIP, mark, around))
     flush()
     return out
 
@@ -307,7 +327,20 @@ def classify(tree: tuple, row: tuple[float, ...]) -> bool:
 
 def main_text(page: str | None, tree: tuple) -> str:
     found = blocks(page or "")
-    return "\n".join(b.text for b, row in zip(found, features(found), strict=True) if classify(tree, row))
+    out = []
+    for b, row in zip(found, features(found), strict=True):
+        keep = classify(tree, row)
+        text = b.text if keep else ""
+        if b.pieces:
+            beside = (float(b.words), b.linked / b.words) * 2
+
+            def kept(x: Block) -> bool:
+                return classify(tree, (float(x.words), x.linked / x.words, *beside, *map(float, (x.in_article, x.heading, x.furniture, x.marked)), row[-1]))
+
+            text = _SPACE.sub(" ", "".join(piece for piece, x in b.pieces if (keep if x is None else kept(x)))).strip()
+        if text:
+            out.append(text)
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, *, html: str = "html", into: str = "text") -> DataFrame:

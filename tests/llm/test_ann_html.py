@@ -104,6 +104,24 @@ def test_marks_are_whole_tokens_weighed_with_the_rest(page, want):
     assert main_text(page, TREE) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>Some text <span class="share">Share</span></p></article>', "Some text"),
+        ('<article><p>Some text<sup class="legal">1</sup></p></article>', "Some text"),
+        ('<article><p>Some <b>bold <i class="ad">Buy now</i> text</b> here.</p></article>', "Some bold text here."),
+        ('<article><p><span class="ad">Buy now</span> Some text.</p></article>', "Some text."),
+        ('<article><p>Some <span hidden>secret</span>text.</p></article>', "Some text."),
+        ('<article><span class="ad">Buy now</span><p>Some text.</p></article>', "Some text."),
+        (f'<article><p>Some <span class="notice">{LONG}</span>, here.</p></article>', f"Some {LONG}, here."),
+        ('<article><a class="promo"><div>Buy now</div></a><p>Some text.</p></article>', "Some text."),
+        ('<article><div class="ad">Buy <b>now</b></div>Some text.</article>', "Some text."),
+    ],
+)
+def test_marked_inline_elements_stand_alone(page, want):
+    assert main_text(page, TREE) == want
+
+
 def test_long_pages_take_linear_time():
     import time
 
