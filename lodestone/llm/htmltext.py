@@ -32,6 +32,8 @@ from lodestone.llm.common import arrow_rows
 #: HTML elements.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 SKIP = frozenset("script style noscript template head title select textarea button svg math iframe object embed canvas audio video map datalist".split())
+#: What can stand in a head. Anything else ends one whose end tag is left out, as its text does.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog fieldset search".split())
 #: Elements that end where another of the group begins.
@@ -140,7 +142,11 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             piece = m[0]
-            if piece[:2] in ("<!", "<?") or top()[5]:
+            if piece[:2] in ("<!", "<?"):
+                continue
+            if top()[0] == "head" and piece.strip():
+                stack.pop()
+            if top()[5]:
                 continue
             if "&" in piece:
                 piece = html.unescape(piece)
@@ -161,6 +167,8 @@ def blocks(page: str) -> list[Block]:
                         stack = stack[:i]
                     break
             continue
+        if top()[0] == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in BLOCK:
             flush()
             while stack and stack[-1][0] in ENDS_AT and tag in ENDS_AT[stack[-1][0]]:

@@ -122,6 +122,22 @@ def test_marked_inline_elements_stand_alone(page, want):
     assert main_text(page, TREE) == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><meta charset=utf-8><title>T</title><script>x</script><body><article><p>Some text.</p></article></body></html>",
+        "<head><title>T</title><link rel=x><article><p>Some text.</p></article>",
+        "<head><style>p{}</style></head><body><article><p>Some text.</p></article>",
+        "<html><head><title>T</title>\n<meta name=a><p>Some text.",
+        "<head><title>T</title>Some text.",
+        "<head><title>T</title><noscript><p>no</p></noscript><template><p>no</p></template><p>Some text.</p>",
+        "<head><title>T</title><img src=x>Some text.",
+    ],
+)
+def test_a_head_ends_without_its_end_tag(page):
+    assert main_text(page, TREE) == "Some text."
+
+
 def test_long_pages_take_linear_time():
     import time
 
