@@ -57,8 +57,8 @@ def degree_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each supplier whose key is divisible by 10 as the one hit of a query, with its class."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("r"), F.col("s_suppkey") % 5).alias("p"))
+    """Each supplier as the one hit of a query, with its class."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("r"), F.col("s_suppkey") % 5).alias("p"))
     fused = s.select("query_id", F.concat("p", F.lit(":S"), "query_id").alias("chunk_id"), F.lit(1).alias("rank"), F.concat(F.lit("shop."), "p", F.lit(".S"), "query_id").alias("symbol_fqn"))
     return fused, s.select("query_id", F.lit("usage_lookup").alias("query_type"))
 
@@ -75,8 +75,10 @@ f3 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS rank FROM f3 JOIN q USING (query_id) WHERE chunk_id <> 'r' || (query_id % 5) || ':S' || query_id"""
 )
 def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the queries that its SQL asks: a tenth of the suppliers. k_hop asks all of them."""
     symbols, edges = code_graph(spark, sf_dir)
-    return graph.expand(*_seeded(spark, sf_dir), edges, symbols, hops=1).select("query_id", "chunk_id", "rank")
+    fused, kinds = (df.where("query_id % 10 = 0") for df in _seeded(spark, sf_dir))
+    return graph.expand(fused, kinds, edges, symbols, hops=1).select("query_id", "chunk_id", "rank")
 
 
 @BOOK.query()

@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph
+from lodestone.plans import queries_graph
 
 SYMBOL = "tenant_id string, gitlab_project_id string, branch string, repo_path_with_namespace string, symbol_name string, symbol_fqn string, symbol_kind string, language string, docstring string, signature string, definition_file_path string, definition_chunk_id string, definition_url string, symbol_id string"
 
@@ -83,3 +84,43 @@ def test_expansion(spark):
     assert len(few) == 1  # what was met before counts against the limit of a hop
     other = kinds.withColumn("query_type", F.lit("deployment_question"))
     assert graph.expand(fused, other, e, s).count() == 0
+
+
+def plain_expansion(seed, named, near, hops, limit):
+    """Ranked chunks of a seed. named: (symbol_id, fqn, chunk_id); near: (edge_id, source, target), all of one type and confidence."""
+    short = lambda f: f.rsplit(".", 1)[-1]
+    out, frontier = [], {seed[0]}
+    for hop in range(hops):
+        met = sorted([(e, b) for e, a, b in near if a in frontier] + [(e, a) for e, a, b in near if b in frontier])[: max(5 * limit, 25)]
+        names, found, chunks = {}, {}, {}
+        for n, (_, other) in enumerate(met):
+            if other not in frontier:
+                names.setdefault(other, n)
+        for other, n in names.items():
+            for sid, fqn, chunk in named:
+                if fqn == other or short(fqn) == short(other):
+                    found[sid, fqn, chunk] = min(n, found.get((sid, fqn, chunk), n))
+        best = sorted(found, key=lambda x: (found[x], x[0]))[: max(2 * limit, 20)]
+        for k, (_, fqn, chunk) in enumerate(best):
+            chunks.setdefault(chunk, (k, fqn))
+        placed = enumerate(sorted(chunks, key=lambda c: (chunks[c][0], c))[:limit], 1)
+        new = [(c, chunks[c][1]) for place, c in placed if c != seed[1] and c not in {x for x, _ in out} and (hop == 0 or place + len(out) <= limit)]
+        if not new:
+            break
+        out, frontier = out + new, {fqn for _, fqn in new}
+    return [c for c, _ in out]
+
+
+def test_every_supplier_expands_as_by_brute_force(spark, data):
+    s, e = queries_graph.code_graph(spark, data)
+    s, e = s.cache(), e.cache()
+    named = [(r.symbol_id, r.symbol_fqn, r.definition_chunk_id) for r in s.collect()]
+    near = [(r.edge_id, r.source_symbol_fqn, r.target_symbol_fqn) for r in e.collect()]
+    fused, kinds = queries_graph._seeded(spark, data)
+    seeds = {r.query_id: (r.symbol_fqn, r.chunk_id) for r in fused.collect()}
+    assert {*seeds} == {r.s_suppkey for r in spark.read.parquet(f"{data}/supplier.parquet").collect()}
+    for hops, limit, rows in ((1, 10, graph.expand(fused, kinds, e, s, hops=1)), (3, 30, queries_graph.k_hop(spark, data))):
+        got = {q: [] for q in seeds}
+        for r in rows.orderBy("rank").collect():
+            got[r.query_id].append(r.chunk_id)
+        assert got == {q: plain_expansion(x, named, near, hops, limit) for q, x in seeds.items()}
