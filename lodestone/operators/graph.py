@@ -41,17 +41,21 @@ def seeds(fused: DataFrame, n: int = SEEDS) -> DataFrame:
     return fused.where((F.col("rank") <= n) & F.col("symbol_fqn").isNotNull()).select("query_id", F.col("symbol_fqn").alias("fqn")).distinct()
 
 
-def neighbours(frontier: DataFrame, edges: DataFrame, symbols: DataFrame, policy: DataFrame, limit: int = MAX_NEIGHBORS) -> DataFrame:
+def neighbours(frontier: DataFrame, edges: DataFrame, symbols: DataFrame, policy: DataFrame, limit: int = MAX_NEIGHBORS, granted: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, symbol_fqn, place): definitions at the other end of the frontier's edges.
 
     frontier: query_id, query_type, fqn. Either end of an edge may be the seed: two equi-joins, united.
     The other end is matched by qualified name or by short name, again united. At most max(5 limit, 25)
-    edges, max(2 limit, 20) symbols and limit chunks a query, by confidence and then by id.
+    edges, max(2 limit, 20) symbols and limit chunks a query, by confidence and then by id. granted, rows of (query_id, tenant_id, branch, project_id),
+    and allowed, pairs of (query_id, chunk_id), say what a query may read; edges and symbols beyond it go before each cut.
     """
     want = frontier.join(F.broadcast(policy), "query_type")
-    near = edges.select("edge_id", "edge_type", "confidence", F.col("source_symbol_fqn").alias("s"), F.col("target_symbol_fqn").alias("t"))
-    ends = [near.select("edge_id", "edge_type", "confidence", F.col(a).alias("fqn"), F.col(b).alias("other")) for a, b in (("s", "t"), ("t", "s"))]
+    keys = [] if granted is None else [k for k in ("tenant_id", "branch") if k in granted.columns and k in edges.columns] + ["project_id"]
+    near = edges.select("edge_id", "edge_type", "confidence", F.col("source_symbol_fqn").alias("s"), F.col("target_symbol_fqn").alias("t"), *(F.col("gitlab_project_id" if k == "project_id" else k).alias(k) for k in keys))
+    ends = [near.select("edge_id", "edge_type", "confidence", *keys, F.col(a).alias("fqn"), F.col(b).alias("other")) for a, b in (("s", "t"), ("t", "s"))]
     met = want.join(ends[0], ["edge_type", "fqn"]).unionByName(want.join(ends[1], ["edge_type", "fqn"]))
+    if granted is not None:
+        met = met.join(granted, ["query_id", *keys], "left_semi").drop(*keys)
     by_edge = W.partitionBy("query_id").orderBy(F.desc("confidence"), "edge_id", "other")
     met = met.withColumn("n", F.row_number().over(by_edge)).where(F.col("n") <= max(5 * limit, 25))
     names = met.join(frontier.select("query_id", F.col("fqn").alias("other")), ["query_id", "other"], "left_anti").groupBy("query_id", "other").agg(F.min("n").alias("n"))
@@ -59,6 +63,8 @@ def neighbours(frontier: DataFrame, edges: DataFrame, symbols: DataFrame, policy
     full = names.join(defined, F.col("other") == F.col("symbol_fqn"))
     short = names.join(defined, short_name(F.col("other")) == F.col("symbol_name"))
     found = full.unionByName(short).groupBy("query_id", "symbol_id", "symbol_fqn", "chunk_id").agg(F.min("n").alias("n"))
+    if allowed is not None:
+        found = found.join(allowed, ["query_id", "chunk_id"], "left_semi")
     by_symbol = W.partitionBy("query_id").orderBy("n", "symbol_id")
     found = found.withColumn("k", F.row_number().over(by_symbol)).where(F.col("k") <= max(2 * limit, 20))
     chunks = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct("k", "symbol_fqn")).alias("x"))
@@ -66,11 +72,11 @@ def neighbours(frontier: DataFrame, edges: DataFrame, symbols: DataFrame, policy
     return chunks.select("query_id", "chunk_id", "x.symbol_fqn", place.alias("place")).where(F.col("place") <= limit)
 
 
-def expand(fused: DataFrame, queries: DataFrame, edges: DataFrame, symbols: DataFrame, *, hops: int = HOPS, limit: int = MAX_NEIGHBORS, n_seeds: int = SEEDS) -> DataFrame:
+def expand(fused: DataFrame, queries: DataFrame, edges: DataFrame, symbols: DataFrame, *, hops: int = HOPS, limit: int = MAX_NEIGHBORS, n_seeds: int = SEEDS, granted: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, graph_expanded): up to limit new chunks a query, over several hops.
 
     Each hop is a join against what was met before; it is materialised and ends when no query has a
-    frontier left. queries: query_id, query_type.
+    frontier left. queries: query_id, query_type. granted, allowed: as for neighbours.
     """
     spark = fused.sparkSession
     policy = edge_policy(spark)
@@ -78,7 +84,7 @@ def expand(fused: DataFrame, queries: DataFrame, edges: DataFrame, symbols: Data
     frontier = seeds(fused, n_seeds).join(queries.select("query_id", "query_type"), "query_id")
     collected = None
     for hop in range(max(1, hops)):
-        met = neighbours(frontier, edges, symbols, policy, limit).join(seen, ["query_id", "chunk_id"], "left_anti").withColumn("hop", F.lit(hop))
+        met = neighbours(frontier, edges, symbols, policy, limit, granted, allowed).join(seen, ["query_id", "chunk_id"], "left_anti").withColumn("hop", F.lit(hop))
         if collected is not None:
             have = collected.groupBy("query_id").agg(F.count("*").alias("have"))
             met = met.join(have, "query_id", "left").where(F.col("place") + F.coalesce("have", F.lit(0)) <= limit).drop("have")

@@ -22,27 +22,29 @@ def exact_matches(rows: DataFrame, wanted: DataFrame, keys: list[str], row_id: s
     return out.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
-def keyed_search(rows: DataFrame, wanted: DataFrame, *, row_id: str, keys: list[str], boosts: dict[str, float], n: int) -> DataFrame:
-    """Exact and BM25 scores of a batch of identifiers (query_id, identifier), summed; at least one must match."""
+def keyed_search(rows: DataFrame, wanted: DataFrame, *, row_id: str, keys: list[str], boosts: dict[str, float], n: int, chunk: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Exact and BM25 scores of a batch of identifiers (query_id, identifier), summed; at least one must match. allowed: (query_id, chunk_id) of the chunks that rows may stand for, applied before the cut."""
     analysed = rows.withColumns({f: F.translate(F.col(f), "./", "  ") for f in boosts if f in rows.columns})
     fields = {f: b for f, b in boosts.items() if f in rows.columns}
     text = wanted.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("identifier")), " ").alias("text")).withColumn("text", F.translate("text", "./", "  "))
     scored = L.bm25_scores(L.postings(analysed, row_id, list(fields)), L.field_stats(analysed, list(fields)), L.query_terms(text, "query_id", "text"), fields)
     both = scored.unionByName(exact_matches(rows, wanted, keys, row_id)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    if allowed is not None:
+        both = both.join(rows.select(F.col(row_id).alias("doc_id"), F.col(chunk).alias("chunk_id")), "doc_id").join(allowed, ["query_id", "chunk_id"], "left_semi").drop("chunk_id")
     return L.top_n(both, n)
 
 
-def symbol_search(symbols: DataFrame, chunks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def symbol_search(symbols: DataFrame, chunks: DataFrame, wanted: DataFrame, n: int, allowed: DataFrame | None = None) -> DataFrame:
     """Chunks that define the symbols found, in the order of the symbols' scores."""
-    found = keyed_search(symbols, wanted, row_id="symbol_id", keys=["symbol_name", "symbol_fqn"], boosts=L.SYMBOL_BOOSTS, n=n)
+    found = keyed_search(symbols, wanted, row_id="symbol_id", keys=["symbol_name", "symbol_fqn"], boosts=L.SYMBOL_BOOSTS, n=n, chunk="definition_chunk_id", allowed=allowed)
     own = found.join(symbols.select(F.col("symbol_id").alias("doc_id"), F.col("definition_chunk_id").alias("chunk_id")), "doc_id")
     best = own.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     return L.top_n(best, n, id_col="chunk_id")
 
 
-def edge_search(edges: DataFrame, chunks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def edge_search(edges: DataFrame, chunks: DataFrame, wanted: DataFrame, n: int, allowed: DataFrame | None = None) -> DataFrame:
     """Chunks that the edges found start from, flagged edge_match."""
-    found = keyed_search(edges, wanted, row_id="edge_id", keys=["source_symbol_fqn", "target_symbol_fqn"], boosts=L.EDGE_BOOSTS, n=n)
+    found = keyed_search(edges, wanted, row_id="edge_id", keys=["source_symbol_fqn", "target_symbol_fqn"], boosts=L.EDGE_BOOSTS, n=n, chunk="source_chunk_id", allowed=allowed)
     own = found.join(edges.select(F.col("edge_id").alias("doc_id"), F.col("source_chunk_id").alias("chunk_id")), "doc_id")
     best = own.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     return L.top_n(best, n, id_col="chunk_id").withColumn("edge_match", F.lit(True))

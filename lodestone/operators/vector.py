@@ -119,14 +119,18 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, n: int, *, vec_id: str, vec: str, query_id: str, query_vec: str, block: int = QUERY_BLOCK) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, n: int, *, vec_id: str, vec: str, query_id: str, query_vec: str, block: int = QUERY_BLOCK, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the n nearest by cosine, exact.
 
     Queries go out in blocks of a fixed number; each task multiplies its vectors with a block and keeps
-    its n best a query, so what is shuffled is n rows a query and task. Filters on vectors apply before.
+    its n best a query, so what is shuffled is n rows a query and task. Filters on vectors apply before, and so does allowed: (query_id, doc_id)
+    pairs that may be returned.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(vec_id).alias("i"), F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0))
+    filtered = allowed is not None
+    if filtered:
+        own = own.join(allowed.groupBy(F.col("doc_id").alias("i")).agg(F.collect_set("query_id").alias("readers")), "i")
     kind, qkind = dict(own.dtypes)["i"], dict(queries.select(query_id).dtypes)[query_id]
     out = None
     held: list = []
@@ -137,13 +141,18 @@ def knn(vectors: DataFrame, queries: DataFrame, n: int, *, vec_id: str, vec: str
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
+            place = {x: q for q, x in enumerate(ids)}
             best: list = [([], [])] * len(ids)
             for batch in batches:
                 names = np.array(batch.column(0).to_pylist(), dtype=object)
                 sims = matrix @ _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)).T
+                may = np.full(sims.shape, not filtered)
+                if filtered:
+                    for j, readers in enumerate(batch.column(2).to_pylist()):
+                        may[[place[x] for x in readers if x in place], j] = True
                 for q in range(len(ids)):
-                    s = np.round(np.concatenate((best[q][1], sims[q])), 12)
-                    d = np.concatenate((best[q][0], names))
+                    s = np.round(np.concatenate((best[q][1], sims[q][may[q]])), 12)
+                    d = np.concatenate((best[q][0], names[may[q]]))
                     keep = np.lexsort((d, -s))[:n]
                     best[q] = (d[keep], s[keep])
             got = [(ids[q], d, s) for q in range(len(ids)) for d, s in zip(*best[q], strict=True)]

@@ -1,6 +1,7 @@
 """Search for a batch of queries: preparation, legs, fusion, expansion, fusion again, reranking, the best of each.
 
 Rows stay narrow (ids, ranks, scores, flags) until the final cut; texts are joined to what is left. What
+a user may not read goes before each cut, not after it. What
 both fusions use (each leg, and the first fusion) is a few rows a query and is computed once.
 """
 
@@ -32,22 +33,22 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], *, permissions: Dat
     keep = graph.settle
     q = keep(prepare(queries))
     chunks, symbols, edges = tables["chunks"], tables["symbols"], tables["edges"]
-    allowed = None
+    granted = allowed = chunks_allowed = None
     if permissions is not None:
         granted = keep(access.grants(access.resolve(queries, permissions)))
         allowed = access.readable(chunks, granted, row_id="chunk_id", active="active_snapshot").withColumnRenamed("chunk_id", "doc_id")
+        chunks_allowed = allowed.withColumnRenamed("doc_id", "chunk_id")
     wanted = q.select("query_id", F.explode("identifiers").alias("identifier"))
     boosts = {f: b for f, b in lexical.CHUNK_BOOSTS.items() if f in chunks.columns}
     words = chunks.withColumns({f: F.translate(F.col(f), "./", "  ") for f in ("symbol_fqn", "file_path") if f in boosts})
     by_text = keep(lexical.bm25_search(words, q, doc_id="chunk_id", query_id="query_id", query="expanded", boosts=boosts, n=2 * top_k, allowed=allowed))
-    by_vector = knn(tables["chunk_vec"], q, max(16 * top_k, 50), vec_id="chunk_id", vec="dense", query_id="query_id", query_vec="embedding")
-    see = lambda df, key: df if allowed is None else df.join(allowed.withColumnRenamed("doc_id", key), ["query_id", key], "left_semi")
-    by_vector = keep(lexical.top_n(see(by_vector, "doc_id").drop("rank"), 2 * top_k))
-    by_symbol = keep(see(legs.symbol_search(symbols, chunks, wanted, top_k), "chunk_id"))
-    by_edge = keep(see(legs.edge_search(edges, chunks, wanted, 2 * top_k), "chunk_id"))
+    by_vector = knn(tables["chunk_vec"], q, max(16 * top_k, 50), vec_id="chunk_id", vec="dense", query_id="query_id", query_vec="embedding", allowed=allowed)
+    by_vector = keep(lexical.top_n(by_vector.drop("rank"), 2 * top_k))
+    by_symbol = keep(legs.symbol_search(symbols, chunks, wanted, top_k, chunks_allowed))
+    by_edge = keep(legs.edge_search(edges, chunks, wanted, 2 * top_k, chunks_allowed))
     ranked = [fuse.as_leg(by_symbol, "symbol"), fuse.as_leg(by_edge, "edge"), fuse.as_leg(by_text, "lexical"), fuse.as_leg(by_vector, "vector")]
     first = keep(fuse.rrf(ranked).join(chunks.select("chunk_id", "symbol_fqn"), "chunk_id"))
-    more = keep(see(graph.expand(first, q, edges, symbols, hops=hops), "chunk_id"))
+    more = keep(graph.expand(first, q, edges, symbols, hops=hops, granted=granted, allowed=chunks_allowed))
     ranked.append(fuse.as_leg(more, "neighbor"))
     payload = legs.chunk_hits(chunks)
     if "communities" in tables:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import access, assemble, evaluate, fuse, legs, lexical, vector
+from lodestone.operators import access, assemble, evaluate, fuse, graph, legs, lexical, vector
 
 
 def test_bm25_by_hand(spark):
@@ -165,3 +165,27 @@ def test_keyed_search(spark):
     wanted = spark.createDataFrame([("q", "Pay")], "query_id string, identifier string")
     got = legs.symbol_search(symbols, chunks, wanted, 5).orderBy("rank").collect()
     assert [r.chunk_id for r in got] == ["c1"]
+
+
+def test_permissions_come_before_the_cuts(spark):
+    n = 8
+    vecs = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(n)] + [(n, [0.0, 1.0])], "i long, v array<double>")
+    ask = spark.createDataFrame([("q", [1.0, 0.0]), ("r", [1.0, 0.0])], "query_id string, e array<double>")
+    may = spark.createDataFrame([("q", n), ("q", 5), ("r", 3)], "query_id string, doc_id long")
+    got = vector.knn(vecs, ask, 2, vec_id="i", vec="v", query_id="query_id", query_vec="e", allowed=may).collect()
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == {("q", 5, 1), ("q", n, 2), ("r", 3, 1)}
+
+    project = lambda i: "own" if i == n else "other"
+    symbols = spark.createDataFrame([("t", project(i), "m", f"s{i}", "Pay", f"g{i}.Pay", "class Pay", f"c{i}") for i in range(n + 1)], "tenant_id string, gitlab_project_id string, branch string, symbol_id string, symbol_name string, symbol_fqn string, signature string, definition_chunk_id string")
+    edges = spark.createDataFrame([("t", project(i), "m", f"e{i}", "CALLS", 0.55, f"g{i}.Pay", "x.Bill", f"c{i}") for i in range(n + 1)], "tenant_id string, gitlab_project_id string, branch string, edge_id string, edge_type string, confidence double, source_symbol_fqn string, target_symbol_fqn string, source_chunk_id string")
+    chunks = symbols.select(F.col("definition_chunk_id").alias("chunk_id"))
+    mine = spark.createDataFrame([("q", f"c{n}")], "query_id string, chunk_id string")
+    wanted = lambda x: spark.createDataFrame([("q", x)], "query_id string, identifier string")
+    assert [(r.chunk_id, r["rank"]) for r in legs.symbol_search(symbols, chunks, wanted("Pay"), 1, mine).collect()] == [(f"c{n}", 1)]
+    assert [(r.chunk_id, r["rank"]) for r in legs.edge_search(edges, chunks, wanted("x.Bill"), 1, mine).collect()] == [(f"c{n}", 1)]
+
+    fused = spark.createDataFrame([("q", "c", 1, "x.Bill")], "query_id string, chunk_id string, rank int, symbol_fqn string")
+    kinds = spark.createDataFrame([("q", "usage_lookup")], "query_id string, query_type string")
+    granted = spark.createDataFrame([("q", "t", "m", "own")], "query_id string, tenant_id string, branch string, project_id string")
+    many = edges.crossJoin(spark.range(5)).withColumn("edge_id", F.concat("edge_id", F.lit("-"), "id")).withColumn("source_symbol_fqn", F.concat("source_symbol_fqn", F.when(F.col("gitlab_project_id") == "other", F.col("id").cast("string")).otherwise("")))
+    assert [r.chunk_id for r in graph.expand(fused, kinds, many, symbols, limit=1, granted=granted, allowed=mine).collect()] == [f"c{n}"]
