@@ -16,9 +16,21 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 CHANGE = "struct<old_path:string,new_path:string,new_file:boolean,deleted_file:boolean,renamed_file:boolean>"
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, size_bytes, raw) of every file below root. Empty files, which have no chunks, are passed over by Spark's reader."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(file_path, size_bytes, raw) of every file below root. Spark's reader passes over empty files; they are listed beside it."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
+    rows = rows.unionByName(spark.createDataFrame([(p, 0, bytearray()) for p in _empty_files(spark, root)], "path string, length long, content binary"))
     base = root.rstrip("/") + "/"
     at = F.locate(base, F.col("path"))
     return rows.select(F.substring("path", at + len(base), F.lit(1 << 20)).alias("file_path"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"))

@@ -40,11 +40,11 @@ def apply_changes(tables: dict[str, DataFrame], planned: DataFrame, new: dict[st
 
 
 def index_repository(store: Store, files: DataFrame, ingest: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, int]:
-    """A full run: the rows of all files take the place of theirs, orphaned edges go. Paths that are no longer there keep their rows. Returns rows by table."""
+    """A full run: the rows of all files take the place of theirs, orphaned edges go. A file that is not to be indexed any more loses its rows; paths that are no longer there keep theirs. Returns rows by table."""
     new = ingest(files)
     have = {n: store.read(n) for n in new}
     if all(v is not None for v in have.values()):
-        left, _ = delete_files(have, new["files"])
+        left, _ = delete_files(have, files)
         new = {n: upserted(left[n], new[n], KEYS[n]) for n in new}
     out = {n: store.publish(n, new[n]) for n in ("files", "chunks", "symbols")}
     out["edges"] = store.publish("edges", prune_orphans(new["edges"], out["chunks"]))

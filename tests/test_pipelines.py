@@ -95,6 +95,23 @@ def test_full_index_replaces_files(spark, tmp_path):
     assert incremental.guarded(lambda: 1 / 0)["status"] == "failed" and incremental.guarded(dict)["status"] == "succeeded"
 
 
+def test_full_index_deletes_what_is_not_indexed_any_more(spark, tmp_path):
+    store = T.Store(spark, str(tmp_path / "tables"))
+    incremental.index_repository(store, file_rows(spark, [("a.py", "import x\ndef f(): g()"), ("b.py", "def h(): pass")]), ingest.ingest)
+    large = file_rows(spark, [("a.py", "import x\ndef f(): g()")]).withColumn("size_bytes", F.lit(750_001).cast("long"))
+    assert incremental.index_repository(store, large, ingest.ingest)["files"] == 1
+    for name, path in (("files", "file_path"), ("chunks", "file_path"), ("symbols", "definition_file_path"), ("edges", "source_file_path")):
+        assert store.read(name).where(F.col(path) == "a.py").isEmpty()
+
+
+def test_walk_lists_empty_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.py").write_bytes(b"x")
+    (tmp_path / "deep" / "b.txt").write_bytes(b"")
+    got = {r.file_path: (r.size_bytes, bytes(r.raw)) for r in S.walk(spark, str(tmp_path)).collect()}
+    assert got == {"deep/a.py": (1, b"x"), "deep/b.txt": (0, b"")}
+
+
 def test_stream_of_files(spark, tmp_path):
     store = T.Store(spark, str(tmp_path / "tables"))
     source = tmp_path / "in"
