@@ -222,11 +222,14 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items whose first 60 characters stand in documents; those documents are relevant."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     probe = items.select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("probe"))
-    # the second to fourth word of a probe stand whole in any text that holds it: documents are met there, then checked
+    # the words of a probe but its first and last stand whole in any text that holds it: documents are met at three of them, then checked
     key = lambda ts, i: F.xxhash64(F.get(ts, i), F.get(ts, i + 1), F.get(ts, i + 2))
     starts = docs.select("doc_id", tokens(F.col("text")).alias("ts")).where("size(ts) >= 3").select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("ts") - 3), lambda i: key(F.col("ts"), i)))).alias("h"))
-    probe = probe.withColumn("h", key(tokens(F.col("probe")), F.lit(1)))
-    met = starts.join(probe, "h").join(docs.select("doc_id", "text"), "doc_id")
+    probe = probe.withColumn("ts", tokens(F.col("probe")))
+    long = probe.where("size(ts) >= 5").select("case_id", "probe", key(F.col("ts"), F.lit(1)).alias("h"))
+    met = starts.join(long, "h").select("case_id", "probe", "doc_id").join(docs.select("doc_id", "text"), "doc_id").select("case_id", "probe", "doc_id", "text")
+    # probes of fewer words, of which there are few, are held against every document
+    met = met.unionByName(probe.where("size(ts) < 5").select("case_id", "probe").join(docs.select("doc_id", "text"), F.contains("text", "probe")))
     gold = met.where(F.contains("text", "probe")).groupBy("case_id").agg(F.collect_set("doc_id").alias("relevant"))
     hits = _hits(spark, sf_dir).select(F.col("query_id").alias("case_id"), "rank", "doc_id").join(gold, "case_id").withColumn("is_rel", F.array_contains("relevant", F.col("doc_id")))
     return evaluate.score_cases(gold, hits, TOP)

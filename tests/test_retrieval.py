@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import access, assemble, evaluate, fuse, graph, legs, lexical, vector
+from lodestone.plans import queries_rank
 
 
 def test_bm25_by_hand(spark):
@@ -189,3 +190,12 @@ def test_permissions_come_before_the_cuts(spark):
     granted = spark.createDataFrame([("q", "t", "m", "own")], "query_id string, tenant_id string, branch string, project_id string")
     many = edges.crossJoin(spark.range(5)).withColumn("edge_id", F.concat("edge_id", F.lit("-"), "id")).withColumn("source_symbol_fqn", F.concat("source_symbol_fqn", F.when(F.col("gitlab_project_id") == "other", F.col("id").cast("string")).otherwise("")))
     assert [r.chunk_id for r in graph.expand(fused, kinds, many, symbols, limit=1, granted=granted, allowed=mine).collect()] == [f"c{n}"]
+
+
+def test_relevant_documents_of_short_items(spark, tmp_path):
+    docs = [(1, "the quick red fox runs"), (2, "a red fox"), (3, "red foxes sleep well"), (4, "one two three four five six seven"), (5, "none")]
+    items = [("short", "red fox"), ("cut", "two three four fiv"), ("word", "fox"), ("long", "one two three four five six")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.case_id: r.num_relevant for r in queries_rank._cases(spark, str(tmp_path)).collect()}
+    assert got == {i: sum(t[:60] in d for _, d in docs) for i, t in items}
