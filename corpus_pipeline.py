@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, shared_dir, small, table
@@ -42,19 +43,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group whose word 5-shingles have a Jaccard similarity of 0.8 or more: that with the smallest doc_id."""
+    """One document stays of each group whose word 5-shingles have a Jaccard similarity of 0.8 or more: that with the smallest doc_id.
+
+    Rows that share a doc_id and a text are copies of each other; rows that share a doc_id alone are not, and go by their own text.
+    """
     from lodestone.llm.ngramjoin import ngram_join
 
-    found, _ = ngram_join(docs, k=5, num=80, den=100)
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone_d")).distinct()
-    kept = docs.join(small(cut(gone)), F.col("doc_id") == F.col("__gone_d"), "left_anti")
-    again = found.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
-    again = cut(again)
-    if again.isEmpty():
-        return kept
-    once = F.col("doc_id") == F.col("__again")
-    twice = kept.join(small(again), once, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(again), once, "left_anti").unionByName(twice)
+    same = F.xxhash64("text")
+    by_id = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(same).alias("lo"), F.max(same).alias("hi"), F.count("*").alias("n")).where("n > 1")
+    by_id = cut(by_id)
+    if by_id.isEmpty():
+        found, _ = ngram_join(docs, k=5, num=80, den=100)
+        gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone_d")).distinct()
+        return docs.join(small(cut(gone)), F.col("doc_id") == F.col("__gone_d"), "left_anti")
+    # texts that share a doc_id go through the join under ids of their own
+    clash = by_id.where("lo <> hi").select(F.col("doc_id").alias("__d"))
+    own = docs.withColumn("__same", same)
+    texts = own.join(small(clash), F.col("doc_id") == F.col("__d"), "left_semi").select(F.col("doc_id").alias("__d"), F.col("__same").alias("__s")).distinct()
+    top = docs.agg(F.max("doc_id")).first()[0]
+    ids = cut(cut(texts).withColumn("__id", F.monotonically_increasing_id() + F.lit(top).cast("long") + 1))
+    named = own.join(small(ids), (F.col("doc_id") == F.col("__d")) & (F.col("__same") == F.col("__s")), "left").select(F.coalesce("__id", F.col("doc_id").cast("long")).alias("__key"), "text")
+    found, _ = ngram_join(named, doc_id="__key", k=5, num=80, den=100)
+    found = found.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    found = found.join(small(ids), F.col("__key") == F.col("__id"), "left").select("__key", "component_id", F.coalesce("__d", "__key").alias("d"), "__s")
+    found = cut(found)
+    first = found.groupBy("component_id").agg(F.min(F.struct("d", "__s")).alias("first"))
+    gone = found.join(first, "component_id").where(~F.struct("d", "__s").eqNullSafe(F.col("first"))).select(F.col("d").alias("__gone_d"), F.col("__s").alias("__gone_s"))
+    kept = own.join(small(cut(gone)), (F.col("doc_id") == F.col("__gone_d")) & (F.col("__gone_s").isNull() | (F.col("__same") == F.col("__gone_s"))), "left_anti")
+    # of rows that share doc_id and text one stays, the first by its other columns; texts without words stay
+    worded = found.select(F.col("d").alias("__w_d"), F.col("__s").alias("__w_s")).join(small(by_id.select(F.col("doc_id").alias("__w_d"))), "__w_d", "left_semi")
+    is_worded = (F.col("doc_id") == F.col("__w_d")) & (F.col("__w_s").isNull() | (F.col("__same") == F.col("__w_s")))
+    worded = small(cut(worded))
+    order = W.partitionBy("doc_id", "__same").orderBy(F.to_json(F.struct(*(c for c in docs.columns if c != "text"))))
+    once = kept.join(worded, is_worded, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return kept.join(worded, is_worded, "left_anti").unionByName(once).drop("__same")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,12 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
             frame = spark.read.parquet(str(tmp_path / tag / name))
         if tag == "empty":
             assert frame.count() == 0
+
+
+def test_texts_that_share_an_id_go_by_their_own_copies(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(1, text("a"), "s"), (2, text("a"), "s"), (2, text("b"), "s"), (2, text("c"), "z"), (2, text("c"), "y"), (3, text("b"), "s"), (4, text("d"), "s"), (5, "", "s"), (5, text("a") + " end", "s"), (None, text("a"), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [(1, text("a"), "s"), (2, text("b"), "s"), (2, text("c"), "y"), (4, text("d"), "s"), (5, "", "s"), (None, text("a"), "s")]
+    for part in (docs, docs.orderBy(F.desc("source"), F.desc("text"))):
+        assert sorted(map(tuple, P.near_duplicates(spark, part, DIR).collect()), key=str) == sorted(want, key=str)
