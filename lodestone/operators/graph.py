@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections import Counter
 
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.identity import short_name, stable_id
+from lodestone.scratch import cut
 
 #: Edge types followed for each query class.
 EDGE_POLICY = {
@@ -89,7 +88,7 @@ def expand(fused: DataFrame, queries: DataFrame, edges: DataFrame, symbols: Data
             have = collected.groupBy("query_id").agg(F.count("*").alias("have"))
             met = met.join(have, "query_id", "left").where(F.col("place") + F.coalesce("have", F.lit(0)) <= limit).drop("have")
         if hops > 1:
-            met = settle(met)
+            met = cut(met)
         collected = met if collected is None else collected.unionByName(met)
         if hop + 1 >= hops or met.isEmpty():
             break
@@ -99,14 +98,6 @@ def expand(fused: DataFrame, queries: DataFrame, edges: DataFrame, symbols: Data
     return collected.select("query_id", "chunk_id", rank.alias("rank"), F.lit(True).alias("graph_expanded"))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df computed and kept in the shared folder, without its lineage."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="lodestone-")))
-    return df.checkpoint(eager=True)
-
-
 def resolve_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(scope, source, target): edges between known symbols. A target is a qualified name, else the only symbol with its short name, else dropped."""
     known = symbols.where("symbol_fqn is not null and symbol_fqn <> ''").select(*SCOPE, "symbol_fqn").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import querytext as Q
+from lodestone.scratch import cut
 from lodestone.operators import access, fuse, graph, legs, lexical
 from lodestone.operators.vector import DENSE, hash_embedding, knn
 from lodestone.shipping import ship
@@ -30,7 +31,7 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], *, permissions: Dat
 
     tables: chunks, symbols, edges, chunk_vec (chunk_id, dense), and communities if there are any.
     """
-    keep = graph.settle
+    keep = cut
     q = keep(prepare(queries))
     chunks, symbols, edges = tables["chunks"], tables["symbols"], tables["edges"]
     granted = allowed = chunks_allowed = None
