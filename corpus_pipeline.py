@@ -5,19 +5,24 @@ applies them to documents, writing each stage's result as Parquet in the shared
 again for the next. ORACLE_SQL is None: the classifier and the tokenizer have no SQL. tests/llm hold the
 stages against plain versions.
 
+Edge cases, by stage as its operator's docstring has them: a null or empty text is judged by the
+classifier like any other, is nobody's copy, has no benchmark words, takes size 0 in the mix and its end id
+alone in the files; rows that share a doc_id go by their own texts, and of those that share the text as
+well one stays; a null doc_id is never a copy; very long texts are read whole; an empty table passes all
+stages; extra columns stay until the last stage, whatever their names.
+
 All but the last return the columns of docs, whatever they are. The last returns, per document as often
 as the mix takes it, in the order of doc_id: doc_id, start, n_tokens, ids_crc32, read back from the files.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, shared_dir, small, table
+from lodestone.llm.common import table
+from lodestone.scratch import cut, new_dir, scratch, small
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -102,7 +107,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from lodestone.llm.tokens import read_tokens, write_tokens
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_dir(spark, "tokens")
     write_tokens(docs, path, str(public_tokenizers.path(TOKENIZER)), end_id=END_ID)
     return read_tokens(spark, path)
 
@@ -121,8 +126,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over documents."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = new_dir(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with scratch(spark):  # what the stage kept for itself goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
