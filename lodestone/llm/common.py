@@ -4,38 +4,22 @@ from __future__ import annotations
 
 import contextlib
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.scratch import cut, new_dir, shared_dir, small
 from lodestone.shipping import ship
 
+__all__ = ["cut", "new_dir", "shared_dir", "small"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is set only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    have = spark.sparkContext.getCheckpointDir()
-    if not have:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return have.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, without its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,15 +46,6 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-#: Ids that may be broadcast: 16 MB of them. More are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """df marked for broadcast if it has no more than limit rows, counted first; else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -81,13 +56,3 @@ def worker_runs(owner: str, clear: Callable[[], None] | None = None) -> None:
         gc.collect()
     if clear is not None:
         _held[owner] = clear
-
-
-#: Rows a partition that a small table is packed into.
-PACK_ROWS = 20_000
-
-
-def packed(df: DataFrame) -> DataFrame:
-    """df computed, in as few partitions as its rows need, so that what follows starts no empty tasks."""
-    df = cut(df)
-    return df.coalesce(max(1, -(-df.count() // PACK_ROWS)))

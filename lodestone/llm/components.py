@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.scratch import cut, scratch, spread_join
 
 ROUNDS = 60
-#: Edges that one task may join up by itself, counted first: some 50 MB there. More go the distributed way.
-ONE_TASK = 200_000
+#: Edges that one task joins up by itself: some 20 MB there. Larger graphs are contracted until so many are left.
+ONE_TASK = 100_000
 
 
 def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +30,7 @@ def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != b:
                 root[max(a, b)] = min(a, b)
     ids = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["id", "component"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["u", "p"])
 
 
 def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
@@ -38,22 +38,28 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
 
     Each round every node hooks to the smallest of itself and its neighbours, chains are shortened, and
     the edges are carried over to what their ends hook to. Minima are taken in each task before the
-    shuffle, so a node with very many edges is no hot key. Few edges are joined up in one task. Self-loops and repeated edges do no harm.
+    shuffle, and a node with very many edges is dealt over several tasks where it is joined. The last
+    one_task edges are joined up in one task. Self-loops and repeated edges do no harm.
     """
-    left = cut(edges.select("a", "b").where("a <> b").distinct())
-    if left.count() <= one_task:
-        return cut(left.coalesce(1).mapInArrow(_join_up, "id long, component long"))
-    label = cut(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("component", F.col("id")))
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            return label
-        both = left.union(left.select("b", "a"))
-        up = both.groupBy(F.col("a").alias("u")).agg(F.least("u", F.min("b")).alias("p"))
-        for _ in range(2):
-            further = up.select(F.col("u").alias("v"), F.col("p").alias("q"))
-            up = up.join(further, F.col("p") == F.col("v"), "left").select("u", F.coalesce("q", "p").alias("p"))
-        up = cut(up)
-        label = cut(label.join(up, F.col("component") == F.col("u"), "left").select("id", F.coalesce("p", "component").alias("component")))
-        other = up.select(F.col("u").alias("v"), F.col("p").alias("q"))
-        left = cut(left.join(up, F.col("a") == F.col("u")).join(other, F.col("b") == F.col("v")).select(F.col("p").alias("a"), F.col("q").alias("b")).where("a <> b").distinct())
+    with scratch(edges.sparkSession) as keep:
+        left = cut(edges.select("a", "b").where("a <> b").distinct())
+        label = None
+
+        def follow(up: DataFrame) -> DataFrame:
+            if label is None:
+                return cut(up.select(F.col("u").alias("id"), F.col("p").alias("component")))
+            named = spread_join(label, up.withColumnRenamed("u", "component"), ["component"], "left")
+            return cut(named.select("id", F.coalesce("p", "component").alias("component")))
+
+        for _ in range(ROUNDS):
+            if left.count() <= one_task:
+                return keep(follow(cut(left.coalesce(1).mapInArrow(_join_up, "u long, p long"))))
+            up = cut(left.union(left.select("b", "a")).groupBy(F.col("a").alias("u")).agg(F.least("a", F.min("b")).alias("p")))
+            for _ in range(2):
+                further = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
+                up = cut(spread_join(up, further, ["p"], "left").select("u", F.coalesce("q", "p").alias("p")))
+            label = follow(up)
+            for end in ("a", "b"):
+                left = cut(spread_join(left, up.select(F.col("u").alias(end), "p"), [end]).drop(end).withColumnRenamed("p", end))
+            left = cut(left.select("a", "b").where("a <> b").distinct())
     raise RuntimeError("the components did not settle")

@@ -22,6 +22,11 @@ of their sets is at least num / den.
 6. Candidates pass an upper bound by histograms of about eight shingles a bin and are then verified on the whole sets, which
    are made again from the whole texts of the candidates alone.
 
+Words and shingles are compared as 64-bit hashes throughout, so two different ones count as equal with a
+chance of 2**-64 a pair. The links that come out span the components; `all_links` gives every link.
+Documents nearly all of whose shingles are frequent, and that share some but do not link, are compared
+pair by pair. A text of any length is read whole; a pair of sets is held in one worker, 16 bytes a word.
+
 Ids are integers. Edge cases: a null or empty text, or one without words, has an empty set and links with
 nothing; a text of fewer than k words has its whole sequence as its one shingle; rows that share a doc_id
 are one document whose rows' links are joined; a null doc_id links with nothing and has no component;
@@ -37,9 +42,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows, cut, packed, shuffle_width, small, worker_runs
+from lodestone.llm.common import arrow_rows, shuffle_width, small, worker_runs
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import mix, shingle_sets, string_buffers
+from lodestone.scratch import cut, scratch, spread_join
 
 #: How many of the most frequent shingles the order by rarity knows; the others count as equally rare.
 HEAVY = 100_000
@@ -50,9 +56,8 @@ ENTRY_COST = 3.0
 LIGHT = 16
 BOUNDARIES = (0, 6, 8, 10, 13, 16, 20, 26, 34, 44, 56, 72, 96, 128)
 TEXT_ROWS = 2000
-#: Histograms that may be broadcast: some 40 MB.
-HIST_ROWS = 100_000
-SET_ROWS = 200
+#: Pairs of sets in an Arrow batch.
+SET_ROWS = 16
 _FLIP = 0x5555555555555555
 
 
@@ -97,8 +102,8 @@ def heavy_shingles(texts: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndar
     return h[by], rows["df"].to_numpy(np.int64)[by]
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, h1, h2, pre, cold, hist): size, 128-bit hash of the set, its rarest p + 1 shingles in order, how many of these are not known to be frequent, histogram."""
+def signatures(docs: DataFrame, k: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Of docs (doc_id, text): doc_id, n, h1, h2, pre, cold, hist: size, 128-bit hash of the set, its rarest p + 1 shingles in order, how many of these are not known to be frequent, histogram."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +129,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: i
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)), pa.array(np.concatenate(part) if part else [], kind)) for part, kind in ((pre, pa.int64()), (hist, pa.int16()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists[0], pa.array(cold, pa.int32()), lists[1]], names=["doc_id", "n", "h1", "h2", "pre", "cold", "hist"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, pre array<long>, cold int, hist array<short>")
+    return docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, pre array<long>, cold int, hist array<short>")
 
 
 def boundary(reps: DataFrame, num: int, den: int) -> int:
@@ -214,103 +219,127 @@ def _may(a_n: Column, b_n: Column, a_rem: Column, b_rem: Column, num: int, den:
     return (F.least(a_n, b_n) * den >= F.greatest(a_n, b_n) * num) & (F.least(a_rem, b_rem) >= need)
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) that link, with their overlap."""
     spark = docs.sparkSession
-    pairs = packed(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("__end")).union(pairs.select("b")).distinct()
-    hist = small(packed(reps.join(small(cut(ends)), F.col("doc_id") == F.col("__end"), "left_semi").select("doc_id", "n", "hist")), HIST_ROWS)
-    both = pairs.join(hist.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("hist").alias("ah")), "a").join(hist.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("hist").alias("bh")), "b")
+    pairs = cut(pairs.distinct())
+    both, hist = pairs, reps.select("doc_id", "n", "hist")
+    for end in ("a", "b"):  # a pair's ends may be in many pairs
+        both = spread_join(both, hist.select(F.col("doc_id").alias(end), F.col("n").alias(f"{end}n"), F.col("hist").alias(f"{end}h")), [end], counted=pairs)
     # of two histograms the finer is folded to the bins of the other; sets that may link differ by one doubling at most
     bins = F.least(F.size("ah"), F.size("bh"))
     fold = lambda h: F.when(F.size(h) > bins, F.zip_with(F.slice(h, 1, bins), F.slice(h, bins + 1, bins), lambda x, y: x.cast("int") + y.cast("int"))).otherwise(F.col(h).cast("array<int>"))
     most = F.aggregate(F.zip_with(fold("ah"), fold("bh"), lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda x, y: x + y)
     may = most * (num + den) >= (F.col("an") + F.col("bn")) * num
-    pairs = packed(both.where(may).select("a", "b"))
-    ids = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    own = own.join(small(cut(ids)), F.col("doc_id") == F.col("__id"), "left_semi")
+    pairs = cut(both.where(may).select("a", "b"))
+    ids = cut(pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct())
+    own = docs.join(small(ids), F.col("doc_id") == F.col("__id"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_runs("ngramjoin")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(*string_buffers(batch.column(1)), k)], pa.binary())], names=["doc_id", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_runs("ngramjoin")
         for batch in batches:
             a, b, overlap = [], [], []
-            for x, y, s, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            for i in range(batch.num_rows):
+                s, t = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
                 at = np.minimum(np.searchsorted(t, s), max(len(t) - 1, 0))
                 common = int((t[at] == s).sum()) if len(t) else 0
                 if common * den >= num * (len(s) + len(t) - common):
-                    a.append(x)
-                    b.append(y)
+                    a.append(batch.column(0)[i].as_py())
+                    b.append(batch.column(1)[i].as_py())
                     overlap.append(common)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(overlap, pa.int64())], names=["a", "b", "overlap"])
 
     with arrow_rows(spark, TEXT_ROWS):
         held = cut(own.mapInArrow(sets, "doc_id long, s binary"))
-    full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+    full = pairs
+    for end in ("a", "b"):
+        full = spread_join(full, held.select(F.col("doc_id").alias(end), F.col("s").alias(f"s{end}")), [end], counted=pairs)
     with arrow_rows(spark, SET_ROWS):
-        return packed(full.mapInArrow(compare, "a long, b long, overlap long"))
+        return cut(full.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, overlap long"))
 
 
 def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends are not in one component of known (id, component)."""
-    known = small(known)
-    one = known.select(F.col("id").alias("__a"), F.col("component").alias("__ca"))
-    two = known.select(F.col("id").alias("__b"), F.col("component").alias("__cb"))
-    both = pairs.join(one, F.col("a") == F.col("__a"), "left").join(two, F.col("b") == F.col("__b"), "left")
-    return both.where(F.coalesce("__ca", "a") != F.coalesce("__cb", "b")).select("a", "b")
+    for end in ("a", "b"):
+        pairs = spread_join(pairs, known.select(F.col("id").alias(end), F.col("component").alias(f"__c{end}")), [end], "left")
+    return pairs.where(F.coalesce("__ca", "a") != F.coalesce("__cb", "b")).select("a", "b")
 
 
-def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(per row doc_id, n_shingles, class_id, component_id; verified links a, b, overlap between classes that span the components)."""
-    spark = docs.sparkSession
-    with arrow_rows(spark, TEXT_ROWS):
-        heavy = heavy_shingles(docs.select(text), k)
-        signed = cut(signatures(docs, doc_id, text, k, num, den, heavy))
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], num: int, den: int) -> DataFrame:
+    """Pairs a < b of (doc, n, rem) of left and right that meet on `on` and may link."""
+    other = right.select(*on, F.col("doc").alias("odoc"), F.col("n").alias("on_"), F.col("rem").alias("orem"))
+    met = spread_join(left.select(*on, "doc", "n", "rem"), other, on)
+    met = met.where((F.col("doc") != F.col("odoc")) & _may(F.col("n"), F.col("on_"), F.col("rem"), F.col("orem"), num, den))
+    return met.select(F.least("doc", "odoc").alias("a"), F.greatest("doc", "odoc").alias("b"))
+
+
+def _signed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, text): each row once; signatures of all rows; classes of equal sets (n, h1, h2, rep); signatures of their representatives."""
+    repeated = not docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    once = cut(docs.distinct()) if repeated else docs
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        signed = cut(signatures(docs, k, num, den, heavy_shingles(docs.select("text"), k)))
     named = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = cut(named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     # every row but its class's representative is a copy: these are left out, by broadcast where few enough
-    copies = named.select("n", "h1", "h2", "doc_id").join(classes, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("__copy"), F.col("h1").alias("__h1"))
-    reps = named.join(small(cut(copies)), (F.col("doc_id") == F.col("__copy")) & (F.col("h1") == F.col("__h1")), "left_anti").select("doc_id", "n", "pre", "cold", "hist")
-    entries = postings(reps, boundary(reps, num, den), num, den)
-
-    scanned = cut(scan_lists(entries.where(~F.col("hot")), num, den))
-    light = scanned.where("n is null").select("a", "b", F.col("rem").alias("times"))
-    long_ = scanned.where("n is not null").select(F.col("a").alias("key"), F.col("b").alias("doc"), "n", "rem")
-    met = packed(entries.where("hot").select("key", "doc", "n", F.col("rem").cast("long").alias("rem")).unionByName(long_))
-
-    lists = packed(met.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi"))
-    hub = lists.select("key", F.explode(F.array("lo", "hi")).alias("doc"))
-    hubs = met.join(hub, ["key", "doc"]).select(F.col("key").alias("hkey"), F.col("doc").alias("hdoc"), F.col("n").alias("hn"), F.col("rem").alias("hrem"))
-    meeting = met.join(hubs, (F.col("key") == F.col("hkey")) & (F.col("doc") != F.col("hdoc")) & _may(F.col("n"), F.col("hn"), F.col("rem"), F.col("hrem"), num, den))
-    met_hub = meeting.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b"), F.lit(1).cast("long").alias("times"))
-    first = packed(met_hub.unionByName(light).groupBy("a", "b").agg(F.sum("times").alias("times")))
-    # each document is held against the one it met most often, then against others of other components alone
-    best = first.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
-    links = verify(best, reps, docs, doc_id, text, k, num, den)
-    links = links.unionByName(verify(apart(first.select("a", "b"), components(links)), reps, docs, doc_id, text, k, num, den))
-
-    # lists of up to three entries are done: each of their pairs has a hub
-    known = components(links)
-    own = met.join(small(lists.where("c > 3").select("key")), "key", "left_semi").join(small(known), F.col("doc") == F.col("id"), "left").select("key", "doc", "n", "rem", F.coalesce("component", "doc").alias("comp"))
-    own = cut(own)
-    per = own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    own = own.join(per, "key")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("long")
-    strays = own.where("comp <> main").select("key", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("doc").alias("sdoc"), F.col("n").alias("sn"), F.col("rem").alias("srem"), F.col("comp").alias("scomp"))
-    others = own.select(F.col("key").alias("okey"), band.alias("oband"), "doc", "n", "rem", "comp")
-    cross = others.join(strays, (F.col("okey") == F.col("key")) & (F.col("oband") == F.col("band")) & (F.col("comp") != F.col("scomp")) & _may(F.col("n"), F.col("sn"), F.col("rem"), F.col("srem"), num, den))
-    rest = cross.select(F.least("doc", "sdoc").alias("a"), F.greatest("doc", "sdoc").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(rest, reps, docs, doc_id, text, k, num, den))
-
-    member = signed.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
-    member = cut(member)
-    several = member.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")  # rows of one doc_id in different classes
-    same = member.join(several, "doc_id", "left_semi").select("doc_id", F.col("class_id").alias("b"))
-    edges = links.select("a", "b").union(same.select(F.col("doc_id").alias("a"), "b"))
-    final = components(edges)
-    out = member.join(small(final), F.col("class_id") == F.col("id"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return out, links
+    copies = named.select("n", "h1", "h2", "doc_id").join(classes, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "h1", "h2")
+    reps = named.join(small(cut(copies)), ["doc_id", "h1", "h2"], "left_anti")
+    reps = reps.dropDuplicates(["doc_id", "h1", "h2"]) if repeated else reps
+    return once, signed, classes, reps.select("doc_id", "n", "pre", "cold", "hist")
+
+
+def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def all_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(a, b, overlap): every link between two classes of equal sets, each under its smallest doc_id. As many rows as links, which in a group of near copies is the square of its size."""
+    with scratch(docs.sparkSession) as keep:
+        texts, _, _, reps = _signed(_own(docs, doc_id, text), k, num, den)
+        entries = cut(postings(reps, boundary(reps, num, den), num, den).select("key", "doc", "n", F.col("rem").cast("long").alias("rem")))
+        return keep(verify(_pairs(entries, entries, ["key"], num, den), reps, texts, k, num, den))
+
+
+def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(per row doc_id, n_shingles, class_id, component_id; verified links a, b, overlap between classes that span the components)."""
+    with scratch(docs.sparkSession) as keep:
+        texts, signed, classes, reps = _signed(_own(docs, doc_id, text), k, num, den)
+        entries = cut(postings(reps, boundary(reps, num, den), num, den))
+        scanned = cut(scan_lists(entries.where(~F.col("hot")), num, den))
+        light = scanned.where("n is null").select("a", "b", F.col("rem").alias("times"))
+        long_ = scanned.where("n is not null").select(F.col("a").alias("key"), F.col("b").alias("doc"), "n", "rem")
+        met = cut(entries.where("hot").select("key", "doc", "n", F.col("rem").cast("long").alias("rem")).unionByName(long_))
+
+        entry = F.struct("doc", "n", "rem")
+        lists = cut(met.groupBy("key").agg(F.count("*").alias("c"), F.min(entry).alias("lo"), F.max(entry).alias("hi")).where("lo.doc <> hi.doc"))
+        hubs = lists.select("key", F.explode(F.array("lo", "hi")).alias("x")).select("key", "x.*")
+        with_hub = _pairs(met, hubs, ["key"], num, den).withColumn("times", F.lit(1).cast("long"))
+        first = cut(with_hub.unionByName(light).groupBy("a", "b").agg(F.sum("times").alias("times")))
+        # each document is held against the one it met most often, then against others of other components alone
+        best = first.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+        links = verify(best, reps, texts, k, num, den)
+        links = links.unionByName(verify(apart(first.select("a", "b"), components(links)), reps, texts, k, num, den))
+
+        # lists of up to three entries are done: each of their pairs has a hub
+        own = spread_join(met, lists.where("c > 3").select("key"), ["key"], "left_semi")
+        own = spread_join(own, components(links).withColumnRenamed("id", "doc"), ["doc"], "left").select("key", "doc", "n", "rem", F.coalesce("component", "doc").alias("comp"))
+        own = cut(own)
+        per = cut(own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"))
+        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("long")
+        own = cut(spread_join(own, per, ["key"]).withColumn("band", band))
+        strays = own.where("comp <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        rest = _pairs(own, strays, ["key", "band"], num, den).distinct().join(first, ["a", "b"], "left_anti")
+        links = cut(links.unionByName(verify(apart(rest, components(links)), reps, texts, k, num, den)))
+
+        member = signed.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
+        member = cut(member)
+        several = member.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")  # rows of one doc_id in different classes
+        same = member.join(several, "doc_id", "left_semi").select("doc_id", F.col("class_id").alias("b"))
+        edges = links.select("a", "b").union(same.select(F.col("doc_id").alias("a"), "b"))
+        out = member.join(small(components(edges)), F.col("class_id") == F.col("id"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+        return keep(out), keep(links)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, table
+from lodestone.llm.common import new_dir, table
 
 ALL: list = []
 ORACLES: dict[str, str] = {}
@@ -154,13 +154,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
     from lodestone.llm.tokens import read_tokens, write_tokens
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_dir(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
     return read_tokens(spark, path)
 

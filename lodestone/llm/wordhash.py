@@ -2,6 +2,8 @@
 
 A word is a run of bytes of a class. Its hash is a polynomial over its bytes in arithmetic modulo
 2**64, read off prefix sums, so the cost is a few numpy operations a byte and no Python object a word.
+Such polynomials are known to collide on certain words of 1024 bytes and more; long words are hashed
+by xxHash instead.
 """
 
 from __future__ import annotations
@@ -10,7 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
+#: Bytes from which words are hashed one by one.
+_LONG = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PIECE = 1 << 20
@@ -97,7 +102,10 @@ def hash_words(buf: np.ndarray, off: np.ndarray, word: np.ndarray = NOT_SPACE) -
         sums = np.zeros(n + 1, dtype=_U)
         np.cumsum((low.astype(_U) + _U(1)) * _power(_BASE, n), out=sums[1:])
         h = (sums[e] - sums[s]) * _power(_INVERSE, n)[s]
-        hashes_all.append(mix(h ^ ((e - s).astype(_U) << _U(48))))
+        h = mix(h ^ ((e - s).astype(_U) << _U(48)))
+        for i in np.flatnonzero(e - s > _LONG):
+            h[i] = xxhash.xxh3_64_intdigest(low[s[i] : e[i]].tobytes())
+        hashes_all.append(h)
         starts_all.append(s + at)
         at = to
     starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 
 from lodestone.llm.components import components
-from lodestone.llm.ngramjoin import ngram_join
+from lodestone.llm.ngramjoin import all_links, ngram_join
+from lodestone.llm.wordhash import NOT_SPACE, hash_words, string_buffers
+from lodestone.scratch import cut, spread_join
 
 
 def brute(rows, k, num, den):
@@ -73,6 +75,61 @@ def test_edges_of_the_contract(docs):
     assert ngram_join(docs([]), k=4, num=85, den=100)[0].count() == 0
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_all_links_and_joins_by_shuffle(docs, monkeypatch, shuffled):
+    """Every pair that links; with nothing broadcast and every key split, the same."""
+    if shuffled:
+        monkeypatch.setattr("lodestone.scratch.BROADCAST_BYTES", -1)
+        monkeypatch.setattr("lodestone.scratch.SPREAD_ROWS", 3)
+    texts = corpus(7, 60)
+    sets = [{tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if (w := t.split()) else set() for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    reps = sorted(i for s, i in first.items() if s)
+    want = {(a, b, len(sets[a] & sets[b])) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(want) > 20
+    assert {tuple(r) for r in all_links(docs(texts), k=4).collect()} == want
+    found, _ = ngram_join(docs(texts), k=4)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found.collect()} == brute(list(enumerate(texts)), 4, 80, 100)
+
+
+def test_repeated_rows_of_an_id(docs):
+    texts = ["a b c d e f"] * 40 + ["a b c d e f g"] * 40
+    found, links = ngram_join(docs(texts, [1] * 40 + [2] * 40), k=2)
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(1, 1)] * 40 + [(2, 1)] * 40
+    assert [(r.a, r.b, r.overlap) for r in links.collect()] == [(1, 2, 5)]
+
+
+def test_long_words_do_not_collide():
+    """Polynomials modulo a power of two take the same value on a Thue-Morse word and its complement."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    import pyarrow as pa
+
+    hashes, first = hash_words(*string_buffers(pa.array([one, two, one.upper() + " x", "x " + one])), NOT_SPACE)
+    assert list(first) == [0, 1, 2, 4, 6]
+    assert hashes[0] == hashes[2] == hashes[5] != hashes[1]
+    assert hashes[3] == hashes[4]
+
+
+def test_sizes_stay_those_of_the_files(spark):
+    t = cut(spark.range(300).selectExpr("id", "id + 1 as n"))
+    for _ in range(10):
+        t = cut(t.alias("a").join(t.select("id").alias("b"), "id").select("id", "n"))
+    assert int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join(spark, monkeypatch, how):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(200)], "k long, v long")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (500, "w")], "k long, w string")
+    want = sorted(map(tuple, left.join(right, ["k"], how).collect()))
+    monkeypatch.setattr("lodestone.scratch.BROADCAST_BYTES", -1)
+    monkeypatch.setattr("lodestone.scratch.SPREAD_ROWS", 10)
+    assert sorted(map(tuple, spread_join(left, right, ["k"], how).collect())) == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)]
@@ -82,6 +139,7 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     table = spark.createDataFrame(edges, "a long, b long")
     got = {r.id: r.component for r in components(table).collect()}
-    assert got == {r.id: r.component for r in components(table, one_task=0).collect()}
+    for few in (0, 60):  # all by rounds, and rounds until one task takes the rest
+        assert got == {r.id: r.component for r in components(table, one_task=few).collect()}
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {k: v for k, v in label.items() if k not in alone}
