@@ -7,28 +7,48 @@ before each document of the part, then their total) and `part-N.doc` (64-bit doc
 `manifest.json` with one entry a part. A retried task writes the same bytes to a name of its own and
 then renames, so a lost executor leaves nothing half written.
 
+Where a tokenizer's rules are known never to look across a space or a newline, each distinct word of a
+batch is encoded once and remembered, and the documents' ids are gathered by word; with any other rules
+whole texts are encoded. The tokenizer's file (a few MB) is read on the driver and sent along.
+
 Edge cases: a null text is empty (its end id alone); a null doc_id sorts first; rows that share a doc_id
-are ordered by text; an empty table gives a manifest without parts; extra columns are not written.
+are ordered by text; an empty table gives a manifest without parts; extra columns are not written, so
+their names may be any. A text of any length is encoded whole: one batch, and the ids of one document
+when read, must fit a worker.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import shuffle_width, worker_runs
+from lodestone.llm.wordhash import blocks, gather, hash_strings, string_buffers
+
+#: Texts' words whose ids a worker remembers: some 80 MB. Past this the older ones are forgotten; ids don't depend on it.
+CACHE_WORDS = 2_000_000
+#: Bytes of text encoded at once, and ids read at once, where documents are not longer.
+TEXT_BYTES = 4 << 20
+READ_IDS = 1 << 21
 
-#: Texts' words whose ids a worker remembers. Past this the older half is forgotten; ids don't depend on it.
-CACHE_WORDS = 600_000
+#: Parts of a tokenizer's rules that treat what a space parts as apart.
+_NORMALIZERS = frozenset(["NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"])
+#: A split pattern of alternatives none of which can hold white space: letters behind an apostrophe, runs of a class, runs of anything but white space.
+_ALTERNATIVE = r"(?:'[a-z]+|\[\\p\{[A-Z][a-z]?\}\]\+?|\\p\{[A-Z][a-z]?\}\+?|\[\^\\s[^\[\]]*\]\+?|\\S\+?)"
+_SPACELESS = re.compile(rf"{_ALTERNATIVE}(?:\|{_ALTERNATIVE})*")
 
 _loaded: dict = {}
 
@@ -37,52 +57,139 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-class Encoder:
-    """Ids of whole texts. The tokenizer's rules never reach over a space, so words are encoded once each."""
+def _parts(rule: dict | None, inner: str) -> list[dict]:
+    if rule is None:
+        return []
+    return [x for part in rule[inner] for x in _parts(part, inner)] if rule.get("type") == "Sequence" else [rule]
+
+
+def words_stand_alone(rules: dict) -> bool:
+    """Whether a text's ids are those of its words, where spaces and newlines part words, one after another."""
+    for x in _parts(rules.get("normalizer"), "normalizers"):
+        to_space = x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " "
+        if x["type"] not in _NORMALIZERS and not to_space:
+            return False
+    splits = _parts(rules.get("pre_tokenizer"), "pretokenizers")
+    if not splits:
+        return False
+    first = splits[0]
+    drops = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    if first["type"] == "Split":
+        drops = first["behavior"] == "Removed" and first["invert"] and bool(_SPACELESS.fullmatch(first["pattern"].get("Regex", "")))
+    later = all(x["type"] in ("Digits", "Punctuation", "Whitespace", "WhitespaceSplit", "BertPreTokenizer") or x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in splits[1:])
+    added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"]) and x["content"].split() == [x["content"]] for x in rules.get("added_tokens") or [])
+    cut_short = rules.get("truncation") is not None or rules.get("padding") is not None
+    return drops and later and added and not cut_short and not rules["model"].get("dropout")
+
+
+class _Run:
+    """Words in the order of their hashes, with their bytes and ids."""
+
+    def __init__(self, h: np.ndarray, words: tuple, ids: tuple):
+        by = np.argsort(h, kind="stable")
+        self.h = h[by]
+        self.words, self.ids = ((flat, begin[by].astype(np.int32), size[by].astype(np.int32)) for flat, begin, size in (words, ids))
+
+    def __len__(self) -> int:
+        return len(self.h)
+
+    def __add__(self, other: _Run) -> _Run:
+        both = ((np.concatenate((x[0], y[0])), np.concatenate((x[1], y[1] + len(x[0]))), np.concatenate((x[2], y[2]))) for x, y in ((self.words, other.words), (self.ids, other.ids)))
+        return _Run(np.concatenate((self.h, other.h)), *both)
+
+    def find(self, h: np.ndarray, words: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are here, compared byte by byte, and where."""
+        at = np.minimum(np.searchsorted(self.h, h), len(self) - 1)
+        may = np.flatnonzero((self.h[at] == h) & (self.words[2][at] == words[2]))
+        at, size = at[may], words[2][may].astype(np.int64)
+        other = gather(words[0], words[1][may], size) != gather(self.words[0], self.words[1][at], size)
+        wrong = np.concatenate(([0], np.cumsum(other)))
+        end = np.cumsum(size)
+        same = wrong[end] == wrong[end - size]
+        return may[same], at[same]
 
-    def __init__(self, path: str):
-        import os
 
+class Encoder:
+    """Ids of whole texts, by their words where the rules allow it."""
+
+    def __init__(self, rules: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(rules)
+        self.by_word = words_stand_alone(json.loads(rules))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > CACHE_WORDS // 2:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = set()
-        for ws in words:
-            for w in ws:
-                if w not in young:
-                    have = old.get(w)
-                    if have is None:
-                        missing.add(w)
-                    else:
-                        young[w] = have
-        if missing:
-            todo = list(missing)
-            for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, self.kind).tobytes()
-        end = np.array([end_id], self.kind).tobytes()
-        return [b"".join([young[w] for w in ws]) + end for ws in words]
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+        self.runs: list[_Run] = []
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and how many each has, by the tokenizer."""
+        flat, size = [], []
+        for a in range(0, len(texts), 5000):
+            part = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 5000], add_special_tokens=False)]
+            size.append(np.fromiter(map(len, part), np.int64, len(part)))
+            flat.append(np.fromiter(chain.from_iterable(part), self.kind, int(size[-1].sum())))
+        return (np.concatenate(flat), np.concatenate(size)) if flat else (np.zeros(0, self.kind), np.zeros(0, np.int64))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: all ids, where each word's begin, and how many it has."""
+        buf, off = string_buffers(words)
+        own = (buf, off[:-1], np.diff(off))
+        with np.errstate(over="ignore"):
+            h = hash_strings(buf, off)
+        begin, size, flat = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64), []
+        base = 0
+        left = np.arange(len(words))
+        for run in self.runs:
+            hit, at = run.find(h[left], (buf, own[1][left], own[2][left]))
+            n = run.ids[2][at].astype(np.int64)
+            begin[left[hit]], size[left[hit]] = base + np.cumsum(n) - n, n
+            flat.append(gather(run.ids[0], run.ids[1][at], n))
+            base += len(flat[-1])
+            left = np.delete(left, hit)
+        if len(left):
+            ids, n = self._ids(words.take(pa.array(left)).to_pylist())
+            begin[left], size[left] = base + np.cumsum(n) - n, n
+            flat.append(ids)
+            bytes_ = gather(buf, own[1][left], own[2][left])
+            self.runs.append(_Run(h[left], (bytes_, np.cumsum(own[2][left]) - own[2][left], own[2][left]), (ids, np.cumsum(n) - n, n)))
+            while len(self.runs) > 1 and 2 * len(self.runs[-1]) >= len(self.runs[-2]):
+                self.runs[-2:] = [self.runs[-2] + self.runs[-1]]
+            while sum(map(len, self.runs)) > CACHE_WORDS:
+                self.runs.pop(0)
+        return np.concatenate(flat or [np.zeros(0, self.kind)]), begin, size
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and how many each has."""
+        texts = texts.fill_null("")
+        if self.by_word:
+            split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+            coded = pc.dictionary_encode(split.flatten())
+            flat, begin, n = self._words(coded.dictionary)
+            word, words = coded.indices.to_numpy(), np.diff(np.asarray(split.offsets))
+        else:
+            flat, n = self._ids(texts.to_pylist())
+            begin, word, words = np.cumsum(n) - n, np.arange(len(texts)), np.ones(len(texts), np.int64)
+        # the end id stands as a word of its own behind the words of each text
+        flat, begin, n = np.append(flat, np.array(end_id, self.kind)), np.append(begin, len(flat)), np.append(n, 1)
+        word = np.insert(word, np.cumsum(words), len(n) - 1)
+        upto = np.concatenate(([0], np.cumsum(n[word])))
+        return gather(flat, begin[word], n[word]), np.diff(upto[np.concatenate(([0], np.cumsum(words + 1)))])
+
+
+def encoder(rules: str) -> Encoder:
+    key = zlib.crc32(rules.encode()), len(rules)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Encoder(rules)
+    return _loaded[key]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> dict:
-    """Writes docs under path and returns the manifest."""
+    """Writes docs under path and returns the manifest. tokenizer: a file of the driver's."""
     spark = docs.sparkSession
+    with open(tokenizer, encoding="utf-8") as f:
+        rules = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     rows = rows.repartitionByRange(parts or shuffle_width(spark), F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), F.col("t").asc_nulls_first())
 
@@ -91,18 +198,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
         fs, root = _fs(path)
         name, own = f"{root}/part-{task.partitionId():06d}", uuid.uuid4().hex
         worker_runs("tokens", _loaded.clear)
-        enc = encoder(tokenizer)
+        enc = encoder(rules.value)
         off, ids, nulls, total = [np.zeros(1, np.int64)], [], [], 0
         out = None
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a, b in blocks(string_buffers(batch.column(1))[1], TEXT_BYTES):
+                part = batch.slice(a, b - a)
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{name}.ids.{own}")
-                coded = enc.encode(part.column(1).to_pylist(), end_id)
-                out.write(b"".join(coded))
-                ends = total + np.cumsum([len(c) // enc.width for c in coded], dtype=np.int64)
+                coded, n = enc.encode(part.column(1), end_id)
+                out.write(coded.tobytes())
+                ends = total + np.cumsum(n)
                 total = int(ends[-1])
                 off.append(ends)
                 ids.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False))
@@ -131,18 +238,34 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
     return manifest
 
 
-def _mapped(fs: pafs.FileSystem, file: str, kind: str) -> np.ndarray:
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(file, dtype=kind, mode="r")
-    with fs.open_input_file(file) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+class _File:
+    """A flat file as an array: mapped on a file system, read a slice at a time elsewhere."""
+
+    def __init__(self, fs: pafs.FileSystem, file: str, kind: str):
+        self.kind, self.size = np.dtype(kind), fs.get_file_info(file).size
+        if not self.size:
+            self.data = np.zeros(0, self.kind)
+        elif isinstance(fs, pafs.LocalFileSystem):
+            self.data = np.memmap(file, dtype=self.kind, mode="r")
+        else:
+            self.data, self.file = None, fs.open_input_file(file)
+
+    def __len__(self) -> int:
+        return self.size // self.kind.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.data is not None:
+            return self.data[part]
+        a, b, _ = part.indices(len(self))
+        w = self.kind.itemsize
+        return np.frombuffer(self.file.read_at(max(b - a, 0) * w, a * w), self.kind)
 
 
-def part_arrays(path: str, part: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, offsets, doc_ids and null mask of a part, memory-mapped where the store is a file system."""
+def part_arrays(path: str, part: int, width: int) -> tuple[_File, _File, _File, _File]:
+    """ids, offsets, doc_ids and null mask of a part."""
     fs, root = _fs(path)
     name = f"{root}/part-{part:06d}"
-    return tuple(_mapped(fs, f"{name}.{end}", kind) for end, kind in (("ids", f"<u{width}"), ("off", "<i8"), ("doc", "<i8"), ("nul", "u1")))
+    return tuple(_File(fs, f"{name}.{end}", kind) for end, kind in (("ids", f"<u{width}"), ("off", "<i8"), ("doc", "<i8"), ("nul", "u1")))
 
 
 def read_tokens(spark: SparkSession, path: str, *, ids: bool = False) -> DataFrame:
@@ -158,18 +281,22 @@ def read_tokens(spark: SparkSession, path: str, *, ids: bool = False) -> DataFra
         for batch in batches:
             for part, base in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 data, off, doc, nul = part_arrays(path, part, width)
-                for a in range(0, len(doc), 5000):
-                    b = min(a + 5000, len(doc))
-                    own = data[off[a] : off[b]].astype("<u4")
-                    cuts = off[a : b + 1] - off[a]
+                a = 0
+                while a < len(doc):
+                    near = np.asarray(off[a : a + 5001])
+                    cuts = near[: max(2, int(np.searchsorted(near, near[0] + READ_IDS, side="right")))]
+                    b = a + len(cuts) - 1
+                    own = data[int(cuts[0]) : int(cuts[-1])].astype("<u4")
+                    at = cuts - cuts[0]
                     cols = [
                         pa.array(np.asarray(doc[a:b]), mask=np.asarray(nul[a:b]).astype(bool)),
-                        pa.array(np.asarray(off[a:b]) + base),
+                        pa.array(cuts[:-1] + base),
                         pa.array(np.diff(cuts)),
-                        pa.array([zlib.crc32(own[x:y].tobytes()) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.int64()),
+                        pa.array([zlib.crc32(own[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()),
                     ]
                     if ids:
-                        cols.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(own.astype(np.int32))))
+                        cols.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
+                    a = b
 
     return parts.mapInArrow(read, schema)

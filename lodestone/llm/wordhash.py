@@ -113,6 +113,27 @@ def hash_words(buf: np.ndarray, off: np.ndarray, word: np.ndarray = NOT_SPACE) -
     return hashes, np.searchsorted(starts, off)
 
 
+def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[begin[i] : begin[i] + size[i]] of all i, one after another."""
+    upto = np.cumsum(size)
+    return flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - (upto - size), size)]
+
+
+def hash_strings(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A hash of each whole string buf[off[i]:off[i+1]], as it stands."""
+    out = np.zeros(len(off) - 1, _U)
+    for a, b in blocks(off, _PIECE):
+        s, e = off[a:b] - off[a], off[a + 1 : b + 1] - off[a]
+        own = buf[off[a] : off[b]]
+        if len(own) <= _PIECE:
+            sums = np.zeros(len(own) + 1, dtype=_U)
+            np.cumsum((own.astype(_U) + _U(1)) * _power(_BASE, len(own)), out=sums[1:])
+            out[a:b] = mix((sums[e] - sums[s]) * _power(_INVERSE, len(own) + 1)[s] ^ ((e - s).astype(_U) << _U(48)))
+        for i in np.flatnonzero(e - s > _LONG):
+            out[a + i] = xxhash.xxh3_64_intdigest(own[s[i] : e[i]].tobytes())
+    return out
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k words (len - k + 1); runs over the end of a text are for the caller to leave out."""
     n = len(hashes) - k + 1

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -188,6 +189,36 @@ def test_tokens(spark, docs, tmp_path):
     assert read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_tokenizers_that_look_across_spaces(spark, docs, tmp_path, monkeypatch):
+    """Byte-level rules take a space with the word behind it: whole texts are encoded. Words that were forgotten are encoded anew."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import tokens
+
+    texts = ["two  words\n\n and  more", " a", "", None, "a" * 3000, "don't  stop", "a.b c"] * 3
+    for name, alone in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = str(public_tokenizers.path(name))
+        with open(path) as f:
+            rules = f.read()
+        assert tokens.words_stand_alone(json.loads(rules)) is alone
+        own = Tokenizer.from_file(path)
+        want = [[*own.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+        enc = tokens.Encoder(rules)
+        for _ in range(2):
+            flat, n = enc.encode(pa.array(texts), 2)
+            assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+        write_tokens(docs(texts), str(tmp_path / name), path, end_id=2, parts=3)
+        got = {r.doc_id: r.ids for r in read_tokens(spark, str(tmp_path / name), ids=True).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    rules = json.loads(rules)
+    for change in ({"normalizer": {"type": "Prepend", "prepend": "_"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "Metaspace", "replacement": "_", "prepend_scheme": "always", "split": True}}):
+        assert not tokens.words_stand_alone(rules | change)
+
+
 def test_language(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(table.where(~langid.held_out(F.col("doc_id"))))
