@@ -78,11 +78,11 @@ def _sweep() -> None:
                 remove(spark, path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the shared folder."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df computed once and read back from the shared folder, parted by a column of few values if one is named."""
     spark = df.sparkSession
     path = new_dir(spark, "cut")
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
