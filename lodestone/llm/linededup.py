@@ -1,26 +1,36 @@
 """Line dedup over levelled sorted runs of line hashes, on DataFrame functions alone.
 
-A run is a table (k1, k2, n): the 128-bit hash of a line's key and the number of documents that hold it,
-sorted by hash and dealt by hash. Documents come in batches. A batch counts its own keys, anti-joins
-those that the runs already hold often enough to be dropped (they need no further count), and adds the
-rest as a run of level 0. When `fan` runs of a level have gathered they are merged into one run of the
-next level. In the end the runs' sums tell which keys are frequent, and each document loses their lines.
+A run is a stored table (k1, k2, n, frequent), bucketed and sorted by the 128-bit hash of a line's key: in
+how many documents of its batches the key was, and whether it had reached the threshold by then. Documents
+come in batches. A batch counts the documents of each of its keys, is merged with the runs there are, loses
+the keys that a run knows as frequent (an anti-join), adds up what the runs hold of the others, and is
+stored as a run of level 0. Buckets and order are the same in all runs, so this reads them as they lie,
+without a shuffle. When `fan` runs of a level have gathered they are merged into one of the next level.
+Each frequent key is marked in one run alone, and these marks are the result. Runs stay where they are
+stored: a later session opens the folder again and adds the next batch.
 
 A key is counted once a document and summed in each task before it is shuffled, so a line that a third
-of all documents share is a few rows. Only line numbers travel to the documents; the texts are dealt
-by document once.
+of all documents share is a few rows. Line numbers alone are joined to the documents.
 
 Edge cases: a null or empty text is one empty line; keys shorter than `least_chars` are never dropped;
 rows that share a doc_id are one document when documents are counted, and each row is edited on its own;
-a null doc_id counts as one document; an empty table gives an empty result; extra columns stay.
+a null doc_id counts as one document; equal rows are edited alike; an empty table gives an empty result;
+extra columns stay, and `into` names the one that is added, in place of an earlier one of that name. The
+lines of a text of any length are passed over once; the text must fit a task a few times over. A document
+must come in one batch: one that comes in two is counted twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, lower_ascii, shuffle_width, small
+from lodestone.llm.common import lower_ascii, shuffle_width
+from lodestone.scratch import cut, new_dir, remove, scratch, spread_join
 
 SPACE = " \t\n\x0b\x0c\r"
 DOCUMENTS = 10
@@ -33,76 +43,143 @@ def lines_of(text: Column) -> Column:
 
 
 def key_of(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(SPACE)))
+    bare = F.btrim(line, F.lit(SPACE))
+    # the quick way for ASCII: beyond it, lower() changes other letters as well
+    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(lower_ascii(bare))
 
 
-class LineRuns:
-    """The levels of runs."""
+@dataclass(frozen=True)
+class Run:
+    """A stored run of the batches first to last."""
 
-    def __init__(self, spark, threshold: int = DOCUMENTS, fan: int = FAN):
-        self.spark, self.threshold, self.fan = spark, threshold, fan
-        self.levels: list[list[DataFrame]] = []
+    level: int
+    first: int
+    last: int
+    buckets: int
 
-    def _sums(self, runs: list[DataFrame]) -> DataFrame | None:
-        if not runs:
-            return None
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("k1", "k2").agg(F.sum("n").alias("n"))
+    @property
+    def name(self) -> str:
+        return f"run-{self.level}-{self.first}-{self.last}-{self.buckets}"
 
-    def _sorted(self, run: DataFrame) -> DataFrame:
-        return cut(run.repartition(shuffle_width(self.spark), "k1", "k2").sortWithinPartitions("k1", "k2"))
 
-    def frequent(self) -> DataFrame | None:
-        """Keys that the runs hold in at least threshold documents."""
-        sums = self._sums([r for level in self.levels for r in level])
-        return None if sums is None else sums.where(F.col("n") >= self.threshold).select("k1", "k2")
+class LineRuns:
+    """The levels of runs under a folder."""
+
+    def __init__(self, spark: SparkSession, path: str, *, threshold: int = DOCUMENTS, fan: int = FAN):
+        self.spark, self.path, self.threshold, self.fan = spark, path.rstrip("/"), threshold, fan
+        self.tables: dict[Run, str] = {}
+        self.runs = self._stored()
+        self.buckets = self.runs[0].buckets if self.runs else shuffle_width(spark)
+
+    def _stored(self) -> list[Run]:
+        """The runs that were stored whole, less those that a merged run took in."""
+        context = self.spark.sparkContext
+        root = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(context._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        whole = [m for m in (re.fullmatch(r"run-(\d+)-(\d+)-(\d+)-(\d+)", n) for n in names) if m and fs.exists(context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{m[0]}/_SUCCESS"))]
+        found = [Run(*map(int, m.groups())) for m in whole]
+        return sorted((r for r in found if not any(o.level > r.level and o.first <= r.first and r.last <= o.last for o in found)), key=lambda r: r.first)
+
+    def table(self, run: Run) -> DataFrame:
+        if run not in self.tables:
+            name = f"lines_{uuid.uuid4().hex}"
+            keys = f"CLUSTERED BY (k1, k2) SORTED BY (k1, k2) INTO {run.buckets} BUCKETS"
+            self.spark.sql(f"CREATE TABLE {name} (k1 BIGINT, k2 BIGINT, n BIGINT, frequent BOOLEAN) USING PARQUET {keys} LOCATION '{self.path}/{run.name}'")
+            self.tables[run] = name
+        return self.spark.table(self.tables[run])
+
+    def _store(self, rows: DataFrame, run: Run) -> None:
+        name = f"lines_{uuid.uuid4().hex}"
+        rows.write.format("parquet").mode("overwrite").bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", f"{self.path}/{run.name}").saveAsTable(name)
+        self.tables[run] = name
+
+    def _beside(self, run: Run, i: int) -> DataFrame:
+        return self.table(run).select("k1", "k2", F.col("n").alias(f"n{i}"), F.col("frequent").alias(f"f{i}")).hint("merge")
 
     def add(self, keys: DataFrame) -> None:
-        """A batch (k1, k2, n), a row a key. What is frequent already is left out by an anti-join."""
-        known = self.frequent()
-        if known is not None:
-            keys = keys.join(known, ["k1", "k2"], "left_anti")
-        self._push(0, self._sorted(keys))
-
-    def _push(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fan:
-            merged = self._sorted(self._sums(self.levels[level]))
-            self.levels[level] = []
-            self._push(level + 1, merged)
+        """A batch (k1, k2, n), a row a key: n of its documents hold it."""
+        rows = keys.repartition(self.buckets, "k1", "k2").sortWithinPartitions("k1", "k2")
+        total, known = F.col("n"), F.lit(False)
+        for i, run in enumerate(self.runs):
+            rows = rows.join(self._beside(run, i), ["k1", "k2"], "left")
+            total, known = total + F.coalesce(f"n{i}", F.lit(0)), known | F.coalesce(f"f{i}", F.lit(False))
+        nth = self.runs[-1].last + 1 if self.runs else 0
+        run = Run(0, nth, nth, self.buckets)
+        self._store(rows.where(~known).select("k1", "k2", "n", (total >= self.threshold).alias("frequent")), run)
+        self.runs.append(run)
+        self._compact()
+
+    def _compact(self) -> None:
+        while len(last := self.runs[-self.fan :]) == self.fan and len({r.level for r in last}) == 1:
+            rows = None
+            for i, run in enumerate(last):
+                rows = self._beside(run, i) if rows is None else rows.join(self._beside(run, i), ["k1", "k2"], "full_outer")
+            n = sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(self.fan)), F.lit(0).cast("long"))
+            frequent = F.coalesce(*(F.when(F.col(f"f{i}"), True) for i in range(self.fan)), F.lit(False))
+            merged = Run(last[0].level + 1, last[0].first, last[-1].last, self.buckets)
+            self._store(rows.select("k1", "k2", n.alias("n"), frequent.alias("frequent")), merged)
+            self.runs[-self.fan :] = [merged]
+            for run in last:
+                self._forget(run)
+                remove(self.spark, f"{self.path}/{run.name}")
+
+    def frequent(self) -> DataFrame:
+        """Keys (k1, k2) in at least threshold documents, each once."""
+        out = self.spark.range(0).select(F.col("id").alias("k1"), F.col("id").alias("k2"))
+        for run in self.runs:
+            out = out.unionByName(self.table(run).where("frequent").select("k1", "k2"))
+        return out
+
+    def _forget(self, run: Run) -> None:
+        if run in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(run)}")
+
+    def close(self) -> None:
+        """Takes the runs out of the session's catalog; their files stay."""
+        for run in list(self.tables):
+            self._forget(run)
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(d, same, pos, k1, k2, long enough): a row a line, without the line itself."""
-    line = F.posexplode(F.transform(lines_of(F.col(text)), lambda x: F.struct(F.xxhash64(key_of(x)).alias("k1"), F.xxhash64(F.lit(1), key_of(x)).alias("k2"), F.char_length(key_of(x)).alias("len"))))
-    rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(F.col(text)).alias("same"), line.alias("pos", "x"))
-    return rows.select("d", "same", "pos", "x.k1", "x.k2", "x.len")
-
-
-def frequent_lines(rows: DataFrame, *, threshold: int = DOCUMENTS, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
-    """Keys in at least threshold documents, gathered batch by batch."""
-    spark = rows.sparkSession
-    once = rows.select("d", "k1", "k2").distinct()
-    batch = F.pmod(F.xxhash64("d"), F.lit(batches)).cast("int").alias("batch")
-    counts = cut(once.groupBy(batch, "k1", "k2").agg(F.count("*").alias("n")))
-    runs = LineRuns(spark, threshold, fan)
-    for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b).select("k1", "k2", "n"))
-    return runs.frequent()
-
-
-def drop_frequent_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = DOCUMENTS, least_chars: int = 1, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
-    """docs with text_kept (the other lines joined by a newline), n_lines and n_dropped in the struct column `line_dedup`."""
-    rows = cut(line_rows(docs, doc_id, text).where(F.col("len") >= least_chars).drop("len"))
-    keys = frequent_lines(rows, threshold=threshold, batches=batches, fan=fan)
-    gone = rows.join(small(cut(keys)), ["k1", "k2"]).groupBy("d", "same").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("d").alias("__ld_d"), F.col("same").alias("__ld_same"), "gone").withColumnRenamed("gone", "__ld_gone")
-    out = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__ld_d")) & (F.xxhash64(F.col(text)) == F.col("__ld_same")), "left")
-    lines, drop = lines_of(F.col(text)), F.col("__ld_gone")
-    kept = F.when(drop.isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
-    done = F.struct(kept.alias("text_kept"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))
-    return out.select(*(F.col(c) for c in docs.columns), done.alias("line_dedup"))
+    """(d, same, pos, k1, k2, len): a row a line, without the line itself; same tells rows that share a doc_id apart."""
+    lines = docs.select(F.col(doc_id).alias("d"), F.xxhash64(F.col(text)).alias("same"), F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
+    keyed = lines.select("d", "same", "pos", key_of(F.col("line")).alias("key"))
+    return keyed.select("d", "same", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"), F.char_length("key").alias("len"))
+
+
+def key_counts(rows: DataFrame) -> DataFrame:
+    """(k1, k2, n): documents that hold each key."""
+    return rows.select("d", "k1", "k2").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"))
+
+
+def drop_frequent_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = DOCUMENTS, least_chars: int = 1, batches: int = BATCHES, fan: int = FAN, into: str = "line_dedup") -> DataFrame:
+    """docs with text_kept (the other lines joined by a newline), n_lines and n_dropped in the struct column `into`."""
+    spark = docs.sparkSession
+    docs = docs.drop(into)
+    with scratch(spark) as keep:
+        batch = F.pmod(F.xxhash64("d"), F.lit(batches)).cast("int")
+        rows = cut(line_rows(docs, doc_id, text).where((F.col("len") >= least_chars) | (F.col("pos") == 0)).withColumn("batch", batch), by="batch")
+        long_enough = rows.where(F.col("len") >= least_chars)
+        runs = LineRuns(spark, new_dir(spark, "runs"), threshold=threshold, fan=fan)
+        for b in range(batches):
+            runs.add(key_counts(long_enough.where(F.col("batch") == b)))
+        gone = spread_join(long_enough.select("d", "same", "pos", "k1", "k2"), cut(runs.frequent()), ["k1", "k2"], "left_semi")
+        gone = keep(gone.groupBy("d", "same").agg(F.sort_array(F.collect_set("pos")).alias("__ld_gone")))
+        every = keep(rows.where("pos = 0").select("d", "same"))
+        runs.close()
+
+    def keyed(df: DataFrame, d: Column, same: Column) -> DataFrame:
+        return df.withColumns({"__ld_d": F.coalesce(d.cast("string"), F.lit("")), "__ld_none": d.isNull(), "__ld_same": same})
+
+    on = ["__ld_d", "__ld_none", "__ld_same"]
+    by_row = keyed(gone, F.col("d"), F.col("same")).select(*on, "__ld_gone")
+    out = spread_join(keyed(docs, F.col(doc_id), F.xxhash64(F.col(text))), by_row, on, "left", counted=keyed(every, F.col("d"), F.col("same")))
+    lines, at = lines_of(F.col(text)), F.col("__ld_gone")
+    # a flag a line, up to the last one that goes: as many that stay as lie between two that go
+    steps = F.transform(at, lambda p, i: p - F.coalesce(F.get(at, i - 1), F.lit(-1)))
+    flags = F.flatten(F.transform(steps, lambda n: F.concat(F.array_repeat(F.lit(False), n - 1), F.array(F.lit(True)))))
+    left = F.zip_with(lines, flags, lambda x, goes: F.when(F.coalesce(goes, F.lit(False)), F.lit(None)).otherwise(x))  # nulls are passed over when joined
+    kept = F.when(at.isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(left, "\n"))
+    done = F.struct(kept.alias("text_kept"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(at), F.lit(0)).cast("long").alias("n_dropped"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), done.alias(into))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import chat, langid, quality
 from lodestone.llm.decontaminate import find_contamination
-from lodestone.llm.linededup import drop_frequent_lines
+from lodestone.llm.linededup import LineRuns, drop_frequent_lines
 from lodestone.llm.mixing import copies_of, mix_plan, mix_sources, source_targets
 from lodestone.llm.tokens import read_tokens, write_tokens
 from lodestone.llm.wordhash import ALNUM, NOT_SPACE, hash_words, string_buffers
@@ -100,6 +101,37 @@ def test_frequent_lines(docs, threshold, batches, fan):
     assert drop_frequent_lines(docs([])).count() == 0
 
 
+def test_runs_go_on_in_a_later_session(spark, tmp_path):
+    """Batches added by one holder of the runs and by the next, against counts over all of them."""
+    rng = random.Random(5)
+    total = {}
+    for b in range(9):
+        docs_of = {k: rng.randrange(1, 4) for k in rng.sample(range(60), 25)}
+        for k, n in docs_of.items():
+            total[k] = total.get(k, 0) + n
+        runs = LineRuns(spark.newSession() if b % 2 else spark, str(tmp_path / "runs"), threshold=6, fan=3)
+        runs.add(runs.spark.createDataFrame([(k, k * 7, n) for k, n in docs_of.items()], "k1 long, k2 long, n long"))
+        assert sorted(tuple(r) for r in runs.frequent().collect()) == sorted((k, k * 7) for k, n in total.items() if n >= 6)
+        runs.close()
+    again = LineRuns(spark, str(tmp_path / "runs"), threshold=6, fan=3)
+    assert [(r.level, r.first, r.last) for r in again.runs] == [(2, 0, 8)]
+    plan = again.table(again.runs[0]).select("k1", "k2").hint("merge").join(again._beside(again.runs[0], 1), ["k1", "k2"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    again.close()
+
+
+def test_a_text_of_very_many_lines(docs):
+    """Passed over once: a hundred thousand lines, half of which go."""
+    n = 100_000
+    long_text = "\n".join(f"line {i}" if i % 2 else "Same" for i in range(n))
+    began = time.time()
+    frame = docs([long_text, "same\nx", None]).withColumn("line_dedup", F.lit(3)).withColumn("pos", F.lit(1)).withColumn("d", F.lit(2))
+    rows = {r.doc_id: r for r in drop_frequent_lines(frame, threshold=2).collect()}
+    assert time.time() - began < 60
+    assert rows[0].line_dedup.text_kept == "\n".join(f"line {i}" for i in range(1, n, 2)) and rows[0].line_dedup.n_dropped == n // 2
+    assert (rows[1].line_dedup.text_kept, rows[2].line_dedup.text_kept, rows[1].pos) == ("x", "", 1)
+
+
 def brute_targets(sizes):
     """Water filling by bisection on the level."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
