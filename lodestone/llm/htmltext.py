@@ -5,8 +5,9 @@ inside links, the same of the block before and after it, and what encloses it: t
 element, a heading, whether a container around it is furniture (navigation, header, footer, aside, form,
 or hidden), and whether one is marked as such by its class, id or role alone. A mark is whole tokens, is
 weighed with the rest, and ends at an article or main element. A decision tree (CART by Gini impurity)
-tells main text from the rest. It is trained on the small labelled table below whenever the operator is set up; the
-table's rows are blocks of pages written for this purpose, with and without an article element.
+tells main text from the rest. It is trained on the small labelled table below whenever the operator is
+set up: pages written for this purpose, with and without an article element, as sequences of blocks, so
+that each block has the neighbours that it has on its page.
 
 What a marked or hidden inline element holds is weighed by itself; the flags of the block around it are
 those of the block-level elements that enclose it.
@@ -56,7 +57,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PART = re.compile(r"[^\W\d_]+|\d+")
-_SPACE = re.compile(r"[\s\x00]+")
+_SPACE = re.compile(r"\s+")
+_SELF_CLOSED = re.compile(r"(?:\A|[\s\"'])/\s*\Z")
+_HREF = re.compile(r"(?<![^\s\"'/])href\s*=", re.I)
 
 
 @dataclass
@@ -180,9 +183,12 @@ def blocks(page: str) -> list[Block]:
         _, furniture, marked, article, link, skipped, mark, around = top()
         if tag in ("script", "style", "noscript", "template", "textarea", "title", "iframe"):
             raw = tag
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if tag not in BLOCK and _SELF_CLOSED.search(m[3]):  # not the slash that ends an address
             raw = ""
             continue
+        if tag == "a":  # a link ends where another begins
+            stack = [s for s in stack if s[0] != "a"]
+            link = top()[4]
         whole = tag in ("article", "main")
         own = _signs(tag, m[3], article and not whole)
         # a mark ends at an article or main element, unless that has one as well: a comment among comments
@@ -192,11 +198,14 @@ def blocks(page: str) -> list[Block]:
             mark, around = None, (furniture, marked, article)
         elif own[0] or own[1] and mark is None:
             mark = object()
-        stack.append((tag, furniture, marked, article, link or tag == "a", skipped or tag in SKIP, mark, around))
+        stack.append((tag, furniture, marked, article, link or tag == "a" and bool(_HREF.search(m[3])), skipped or tag in SKIP, mark, around))
     flush()
     return out
 
 
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "article", "heading", "furniture", "mark", "page with an article")
+
+
 def features(found: list[Block]) -> list[tuple[float, ...]]:
     """Per block: words, link density, those of its neighbours, article, heading, furniture, mark, whether the page has an article."""
     density = [b.linked / b.words for b in found]
@@ -222,85 +231,68 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
     return out
 
 
-#: The labelled table: words, link density, words and link density of the block before and after, in an
-#: article, heading, furniture, mark, page with an article, and whether the block is main text. Fixed values.
-LABELLED = [
-    # pages with an article: whatever stands in it, long or short, linked or not
-    (120, 0.0, 8, 0.0, 90, 0.0, 1, 0, 0, 0, 1, 1),
-    (8, 0.0, 1, 1.0, 120, 0.0, 1, 1, 0, 0, 1, 1),
-    (1, 0.0, 80, 0.0, 60, 0.0, 1, 0, 0, 0, 1, 1),
-    (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 0, 0, 1, 1),
-    (45, 0.3, 100, 0.0, 20, 0.0, 1, 0, 0, 0, 1, 1),
-    (6, 1.0, 60, 0.0, 40, 0.0, 1, 0, 0, 0, 1, 1),
-    (15, 0.0, 3, 0.0, 9, 0.4, 1, 0, 0, 0, 1, 1),
-    (300, 0.02, 12, 0.0, 5, 0.0, 1, 0, 0, 0, 1, 1),
-    # the rest of such pages
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0, 1, 0),
-    (1, 1.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 1, 0),
-    (9, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 0, 1, 0),
-    (14, 0.0, 70, 0.0, 0, 0.0, 0, 0, 1, 0, 1, 0),
-    (60, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1, 0, 1, 0),
-    (40, 0.0, 60, 0.0, 3, 1.0, 1, 0, 1, 0, 1, 0),
-    (5, 0.0, 90, 0.0, 20, 0.1, 1, 1, 1, 0, 1, 0),
-    (20, 0.1, 5, 0.0, 20, 0.1, 1, 0, 1, 0, 1, 0),
-    (12, 0.0, 90, 0.0, 4, 1.0, 0, 0, 0, 0, 1, 0),
-    (35, 0.0, 1, 1.0, 100, 0.0, 0, 0, 0, 0, 1, 0),
-    (4, 1.0, 4, 1.0, 4, 1.0, 0, 0, 0, 0, 1, 0),
-    (3, 0.0, 0, 0.0, 20, 0.0, 0, 1, 0, 0, 1, 0),
-    # pages without one: running text and the headings and short lines beside it
-    (110, 0.0, 9, 0.0, 80, 0.0, 0, 0, 0, 0, 0, 1),
-    (60, 0.05, 110, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1),
-    (25, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1),
-    (18, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1),
-    (30, 0.2, 20, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 90, 0.0, 0, 1, 0, 0, 0, 1),
-    (4, 0.0, 50, 0.0, 60, 0.0, 0, 1, 0, 0, 0, 1),
-    (5, 0.0, 70, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1),
-    (1, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 0, 0, 1),
-    (3, 0.0, 1, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 1),
-    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
-    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
-    # and what is not
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
-    (3, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0),
-    (12, 0.9, 3, 1.0, 12, 0.9, 0, 0, 0, 0, 0, 0),
-    (40, 0.8, 12, 0.9, 12, 0.9, 0, 0, 0, 0, 0, 0),
-    (6, 0.7, 80, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 0),
-    (8, 1.0, 80, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0),
-    (20, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0),
-    (50, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1, 0, 0, 0),
-    (3, 0.0, 4, 1.0, 30, 0.0, 0, 0, 1, 0, 0, 0),
-    (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 0),
-    (7, 0.0, 2, 1.0, 60, 0.0, 0, 1, 1, 0, 0, 0),
-    # marked, in an article: long text without links stays, short or linked text goes
-    (150, 0.0, 90, 0.0, 80, 0.0, 1, 0, 0, 1, 1, 1),
-    (70, 0.05, 6, 0.0, 60, 0.1, 1, 0, 0, 1, 1, 1),
-    (120, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1, 1, 1),
-    (11, 0.0, 1, 0.0, 6, 0.0, 1, 0, 0, 1, 1, 0),
-    (30, 0.0, 60, 0.0, 3, 1.0, 1, 0, 0, 1, 1, 0),
-    (1, 0.0, 60, 0.0, 11, 0.0, 1, 1, 0, 1, 1, 0),
-    (2, 1.0, 90, 0.0, 60, 0.0, 1, 0, 0, 1, 1, 0),
-    (80, 0.8, 60, 0.0, 40, 0.0, 1, 0, 0, 1, 1, 0),
-    # marked, outside of the article
-    (150, 0.0, 7, 0.0, 110, 0.0, 0, 0, 0, 1, 1, 0),
-    (70, 0.05, 110, 0.0, 60, 0.0, 0, 0, 0, 1, 1, 0),
-    (120, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1, 1, 0),
-    (12, 0.0, 1, 0.0, 90, 0.0, 0, 0, 0, 1, 1, 0),
-    (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1, 1, 0),
-    (5, 0.0, 90, 0.0, 12, 0.0, 0, 1, 0, 1, 1, 0),
-    # marked, on pages without one
-    (150, 0.0, 7, 0.0, 110, 0.0, 0, 0, 0, 1, 0, 1),
-    (70, 0.05, 110, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1),
-    (30, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 0),
-    (9, 0.0, 60, 0.0, 3, 0.0, 0, 0, 0, 1, 0, 0),
-    (3, 0.0, 4, 1.0, 30, 0.0, 0, 0, 0, 1, 0, 0),
-    (4, 1.0, 4, 1.0, 4, 1.0, 0, 0, 0, 1, 0, 0),
-    (5, 0.0, 2, 1.0, 60, 0.0, 0, 1, 0, 1, 0, 0),
-    (100, 0.8, 12, 0.9, 40, 0.0, 0, 0, 0, 1, 0, 0),
+#: The labelled table: pages as sequences of blocks, each with its words, how many of these are linked, where
+#: it stands (a: in an article, h: heading, f: furniture, m: marked) and whether it is main text. Fixed values.
+LABELLED: list[list[tuple[int, int, str, int]]] = [
+    # whatever stands in an article, long or short, linked or not; the rest of its page goes
+    [(1, 1, "f", 0), (1, 1, "f", 0), (2, 2, "f", 0), (9, 0, "m", 0), (8, 0, "ah", 1), (120, 0, "a", 1), (90, 0, "a", 1), (2, 0, "a", 1), (60, 0, "a", 1), (14, 0, "f", 0)],
+    [(3, 0, "h", 0), (1, 1, "f", 0), (7, 0, "ah", 1), (2, 2, "a", 1), (110, 4, "a", 1), (40, 0, "af", 0), (45, 14, "a", 1), (6, 6, "a", 1), (80, 0, "a", 1), (12, 0, "", 0), (4, 4, "", 0), (4, 4, "", 0)],
+    [(9, 0, "f", 0), (1, 0, "a", 1), (3, 0, "a", 1), (15, 0, "a", 1), (9, 4, "a", 1), (60, 0, "f", 0), (40, 0, "f", 0)],
+    [(35, 0, "", 0), (5, 0, "ah", 1), (300, 6, "a", 1), (5, 0, "ahf", 0), (20, 2, "af", 0), (20, 2, "af", 0), (12, 0, "a", 1), (5, 0, "a", 1), (3, 0, "h", 0), (25, 2, "", 0), (5, 5, "", 0)],
+    [(2, 2, "f", 0), (6, 0, "ah", 1), (4, 0, "ah", 1), (30, 30, "a", 1), (22, 0, "a", 1), (70, 0, "", 0), (15, 0, "m", 0)],
+    [(2, 2, "a", 1), (1, 0, "a", 1), (2, 2, "a", 1), (2, 0, "a", 1), (3, 3, "a", 1), (1, 1, "a", 1), (12, 11, "a", 1), (3, 0, "a", 1), (4, 4, "a", 1), (4, 4, "a", 1), (2, 0, "ah", 1), (8, 8, "a", 1), (3, 0, "a", 1)],
+    [(1, 1, "", 0), (1, 0, "a", 1), (1, 1, "", 0), (30, 0, "", 0), (2, 0, "a", 1), (80, 0, "", 0), (9, 9, "a", 1), (1, 0, "a", 1), (9, 9, "a", 1), (60, 0, "", 0), (3, 0, "a", 1), (4, 4, "f", 0), (3, 0, "a", 1), (6, 6, "m", 0), (2, 0, "a", 1), (5, 5, "m", 0)],
+    [(90, 0, "", 0), (40, 0, "", 0), (18, 0, "", 0), (6, 0, "h", 0), (120, 0, "", 0), (25, 0, "", 0), (5, 0, "ah", 1), (2, 0, "a", 1), (40, 36, "a", 1), (70, 65, "a", 1), (6, 5, "a", 1), (55, 0, "", 0), (30, 3, "", 0), (12, 0, "", 0), (6, 0, "", 0), (3, 0, "", 0), (45, 0, "", 0), (200, 0, "", 0), (5, 5, "", 0), (60, 0, "", 0), (9, 9, "", 0), (35, 0, "", 0), (4, 4, "", 0), (90, 0, "", 0), (1, 1, "", 0), (70, 0, "", 0), (2, 2, "", 0), (50, 0, "", 0), (7, 7, "", 0), (40, 0, "", 0), (6, 6, "", 0), (80, 0, "", 0), (20, 20, "", 0), (65, 0, "", 0)],
+    [(30, 30, "f", 0), (2, 0, "a", 1), (30, 30, "f", 0), (90, 0, "f", 0), (70, 0, "f", 0), (150, 3, "f", 0), (1, 0, "ah", 1), (25, 25, "a", 1), (60, 0, "f", 0), (200, 0, "f", 0)],
+    # marked in an article: long text without links stays, short or linked text goes
+    [(6, 0, "ah", 1), (90, 0, "a", 1), (150, 0, "am", 1), (80, 0, "a", 1), (11, 0, "am", 0), (60, 0, "a", 1), (30, 0, "am", 0), (3, 3, "am", 0), (70, 4, "am", 1), (60, 0, "a", 1)],
+    [(6, 0, "ah", 1), (60, 0, "a", 1), (1, 0, "ahm", 0), (11, 0, "am", 0), (2, 2, "am", 0), (60, 0, "a", 1), (80, 64, "am", 0), (40, 0, "a", 1), (120, 0, "am", 1), (3, 3, "am", 0)],
+    # marked, beside the article
+    [(7, 0, "hm", 0), (150, 0, "m", 0), (110, 0, "a", 1), (60, 6, "a", 1), (70, 4, "m", 0), (120, 0, "m", 0), (3, 3, "m", 0), (12, 0, "m", 0), (90, 0, "m", 0), (5, 0, "hm", 0)],
+    # pages without an article: running text with its headings and short lines, after and before lists of links
+    [(2, 0, "", 0), (1, 1, "", 0), (1, 1, "", 0), (2, 2, "", 0), (1, 1, "", 0), (7, 0, "h", 1), (90, 0, "", 1), (4, 0, "h", 1), (60, 3, "", 1), (5, 0, "", 1), (45, 0, "", 1), (2, 0, "h", 0), (8, 8, "", 0), (7, 7, "", 0), (9, 9, "", 0), (3, 0, "", 0)],
+    [(1, 1, "", 0), (2, 2, "", 0), (1, 0, "", 0), (2, 2, "", 0), (2, 2, "", 0), (110, 0, "", 1), (30, 6, "", 1), (25, 0, "", 1), (1, 0, "", 1), (40, 0, "", 1), (18, 0, "", 1), (3, 3, "", 0), (4, 0, "", 0), (3, 3, "", 0)],
+    [(3, 0, "", 0), (2, 2, "", 0), (3, 3, "", 0), (6, 0, "h", 1), (14, 0, "", 1), (9, 0, "", 1), (3, 0, "", 1), (20, 8, "", 1), (3, 0, "", 1), (70, 0, "", 1), (3, 0, "h", 0), (6, 6, "", 0), (6, 6, "", 0)],
+    [(2, 2, "", 0), (2, 2, "", 0), (14, 0, "", 1), (2, 2, "", 0), (2, 2, "", 0), (2, 0, "", 0)],
+    [(4, 4, "", 0), (12, 11, "", 0), (3, 3, "", 0), (12, 11, "", 0), (40, 32, "", 0), (12, 11, "", 0), (4, 0, "", 0), (4, 4, "", 0)],
+    # a block of links between long paragraphs belongs to them; beside short ones, or before more links, it doesn't
+    [(80, 0, "", 1), (8, 8, "", 1), (60, 0, "", 1), (6, 4, "", 0), (4, 4, "", 0), (3, 0, "", 0), (4, 4, "", 0)],
+    [(3, 3, "", 0), (45, 0, "", 1), (5, 5, "", 1), (70, 2, "", 1), (10, 9, "", 1), (38, 0, "", 1), (6, 6, "", 0), (5, 5, "", 0), (6, 6, "", 0), (30, 0, "", 1), (7, 7, "", 0), (8, 0, "", 1), (6, 6, "", 0), (6, 0, "", 1), (50, 0, "", 1), (12, 12, "", 0)],
+    [(5, 0, "h", 1), (9, 9, "", 0), (6, 0, "", 1), (7, 7, "", 0), (90, 0, "", 1), (9, 9, "", 1), (55, 0, "", 1), (4, 4, "", 0), (4, 0, "", 0), (4, 4, "", 0)],
+    [(6, 0, "h", 1), (66, 0, "", 1), (110, 0, "", 1), (5, 5, "", 0), (5, 5, "", 0), (6, 6, "", 0)],
+    [(2, 2, "", 0), (1, 0, "h", 1), (14, 0, "", 1), (1, 0, "", 1)],
+    [(1, 1, "", 0), (1, 1, "", 0), (2, 0, "h", 1), (40, 0, "", 1), (3, 0, "h", 1), (25, 0, "", 1), (2, 2, "", 0), (4, 0, "h", 1), (60, 0, "", 1), (3, 0, "h", 0), (4, 4, "", 0), (4, 4, "", 0)],
+    [(3, 3, "", 0), (75, 0, "", 1), (7, 7, "", 0), (8, 8, "", 0), (3, 3, "", 0)],
+    [(30, 0, "", 1), (120, 0, "", 1), (9, 9, "", 0)],
+    [(2, 2, "", 0), (28, 0, "", 1), (6, 6, "", 1), (33, 0, "", 1), (4, 4, "", 1), (40, 0, "", 1), (85, 0, "", 1), (4, 4, "", 0), (3, 0, "", 0), (4, 4, "", 0)],
+    [(3, 0, "", 1), (2, 0, "", 1), (4, 0, "", 1)],
+    [(3, 0, "h", 1), (5, 0, "", 1), (9, 0, "", 1), (2, 0, "", 1)],
+    [(2, 0, "", 1)],
+    [(12, 0, "", 1)],
+    [(5, 0, "h", 1), (30, 0, "", 1)],
+    # furniture and marks on such pages
+    [(1, 0, "f", 0), (1, 0, "f", 0), (2, 0, "hf", 0), (50, 0, "f", 0), (8, 0, "h", 1), (60, 0, "", 1), (90, 0, "", 1), (20, 0, "f", 0), (3, 0, "f", 0), (4, 4, "f", 0), (30, 0, "f", 0)],
+    [(4, 4, "m", 0), (3, 0, "m", 0), (4, 4, "m", 0), (7, 0, "h", 1), (110, 0, "", 1), (150, 0, "m", 1), (70, 4, "m", 1), (30, 0, "m", 0), (60, 0, "", 1), (9, 0, "m", 0), (40, 0, "", 1), (12, 11, "m", 0), (100, 80, "m", 0), (40, 0, "", 1), (5, 0, "hm", 0), (25, 0, "m", 0), (2, 0, "m", 0)],
+    [(3, 0, "m", 0), (2, 0, "m", 0), (60, 0, "", 1), (1, 0, "m", 0), (2, 0, "m", 0), (4, 0, "m", 0), (35, 0, "", 1), (80, 0, "m", 1), (2, 0, "m", 0), (3, 0, "m", 0), (2, 2, "m", 0), (3, 0, "m", 0)],
+    [(60, 0, "", 1), (5, 5, "f", 0), (70, 0, "", 1), (4, 4, "m", 0), (50, 0, "", 1), (9, 9, "f", 0), (45, 0, "", 1), (2, 2, "m", 0), (90, 0, "", 1), (3, 3, "f", 0), (35, 0, "", 1)],
 ]
 
 
-def train(rows: list[tuple], depth: int = 6) -> tuple:
+def labelled_rows(pages: list[list[tuple[int, int, str, int]]] = LABELLED) -> list[tuple[float, ...]]:
+    """The table's blocks with the features that they have beside each other, and their label."""
+    out = []
+    for page in pages:
+        found = [Block("x", words, linked, *(c in where for c in "ahfm")) for words, linked, where, _ in page]
+        out += [(*row, label) for row, (*_, label) in zip(features(found), page, strict=True)]
+    return out
+
+
+def used(tree: tuple) -> set[str]:
+    """Names of the features that a tree splits on."""
+    return {FEATURES[tree[0]]} | used(tree[2]) | used(tree[3]) if len(tree) > 1 else set()
+
+
+def train(rows: list[tuple], depth: int = 10) -> tuple:
     """CART: (feature, threshold, below or equal, above), or the label at a leaf. Ties go to the first feature and the smallest threshold."""
 
     def gini(part: list[tuple]) -> float:
@@ -353,7 +345,7 @@ def main_text(page: str | None, tree: tuple) -> str:
 
 def extract(pages: DataFrame, *, html: str = "html", into: str = "text") -> DataFrame:
     """pages with the column `into`, the main text, in place of an earlier one of that name."""
-    tree = train(LABELLED)
+    tree = train(labelled_rows())
     kept = [f for f in pages.schema.fields if f.name != into]
     at, kept_at = pages.columns.index(html), [pages.columns.index(f.name) for f in kept]
 

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm.ann import nearest, search_block
-from lodestone.llm.htmltext import LABELLED, classify, extract, main_text, train
+from lodestone.llm.htmltext import blocks, classify, extract, labelled_rows, main_text, train, used
 
 
 def exact(ids, x, q, k):
@@ -54,11 +56,59 @@ def test_nearest(spark):
     assert nearest(table.limit(0), F.lit(True)).count() == 0
 
 
-TREE = train(LABELLED)
-
-
-def test_the_tree_fits_its_table():
-    assert all(classify(TREE, r[:-1]) == bool(r[-1]) for r in LABELLED)
+TREE = train(labelled_rows())
+
+
+def test_the_tree_fits_its_table_and_asks_the_neighbours():
+    rows = labelled_rows()
+    assert all(classify(TREE, r[:-1]) == bool(r[-1]) for r in rows)
+    assert {"words", "density", "density before", "density after", "words before", "words after"} <= used(TREE)
+    # beside words and links: what stands in an article stays, the rest of its page goes, furniture goes
+    grid = [(w, d, *around) for w in (1.0, 4.0, 9.0, 60.0, 300.0) for d in (0.0, 0.4, 1.0) for around in itertools.product((0.0, 2.0, 30.0, 90.0), (0.0, 0.5, 1.0), (0.0, 2.0, 30.0, 90.0), (0.0, 1.0))]
+    for row in grid:
+        for heading in (0.0, 1.0):
+            assert classify(TREE, (*row, 1.0, heading, 0.0, 0.0, 1.0))
+            for mark in (0.0, 1.0):
+                assert not classify(TREE, (*row, 0.0, heading, 0.0, mark, 1.0))
+                assert not classify(TREE, (*row, 0.0, heading, 1.0, mark, 0.0))
+
+
+def words(n, start=0):
+    return " ".join(f"w{start + i}" for i in range(n))
+
+
+def held_out():
+    """Pages that the table doesn't hold, of blocks (html, text, whether it is main text)."""
+    nav = lambda k: [(f'<li><a href="/{i}">Topic {i}</a></li>', f"Topic {i}", 0) for i in range(k)]
+    p = lambda n, i=0: (f"<p>{words(n, i)}</p>", words(n, i), 1)
+    out = []
+    for k in (3, 6, 9):
+        for sizes in ((40, 25, 60), (120, 9, 33, 70), (15, 18, 22, 50, 11), (200, 6, 90)):
+            body = [("<h1>A headline of some words</h1>", "A headline of some words", 1)] + [p(n, 100 * i) for i, n in enumerate(sizes)]
+            out.append([*nav(k), *body, *[(f'<div><a href="/n{i}">Another story number {i} here</a></div>', f"Another story number {i} here", 0) for i in range(k)]])
+            out.append([("<div>Site</div>", "Site", 0), *nav(k), *body, ("<div>Sections</div>", "Sections", 0), *nav(k), ("<div>(c) us</div>", "(c) us", 0)])
+            with_link = [*body, ('<p><a href="/full">Read the full report on it</a></p>', "Read the full report on it", 1), p(80, 900), p(45, 990)]
+            out.append([*nav(k), *with_link, *nav(k)])
+            out.append([("<header>Name</header>", "Name", 0), *nav(k), *((f"<article>{h}</article>" if i == 0 else h.replace("<p", "<article><p").replace("</p>", "</p></article>"), t, y) for i, (h, t, y) in enumerate(body)), ("<div>Beside it all</div>", "Beside it all", 0), (f'<div class="comments"><p>{words(30, 700)}</p></div>', words(30, 700), 0), ("<footer>f</footer>", "f", 0)])
+    return out
+
+
+def test_precision_and_recall_on_pages_held_out():
+    right = kept = wanted = 0
+    for page in held_out():
+        got = main_text("".join(h for h, _, _ in page), TREE).split("\n")
+        want = [t for _, t, y in page if y]
+        kept, wanted = kept + len(got), wanted + len(want)
+        right += sum(min(got.count(t), want.count(t)) for t in set(want))
+    assert right / kept >= 0.95 and right / wanted >= 0.95, (right / kept, right / wanted)
+
+
+def test_links_end_where_they_should():
+    assert main_text("<article><p>One <a href=https://x.com/>two</a> three.</p></article>", TREE) == "One two three."
+    page = "<p>" + words(30) + "</p><div><a href=https://x.com/>One</a> <a href=https://y.com/>two</a></div><div><a href=/z>z</a></div>"
+    assert main_text(page, TREE) == words(30)
+    assert blocks("<p><a name=x>one <a href=y>two</p><p>three")[0].linked == 1
+    assert main_text("<p>a<br/>b<img src=x/>c<i/>d</p>", TREE) == "a bcd"
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
