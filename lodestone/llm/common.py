@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path there."""
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -50,9 +58,12 @@ _held: dict[str, Callable[[], None]] = {}
 
 
 def worker_runs(owner: str, clear: Callable[[], None] | None = None) -> None:
-    """Called where an operator's code begins in a worker: frees what other operators hold in it. clear frees the owner's own."""
+    """Called where an operator's code begins in a worker: frees what other operators hold in it and gives memory that is free back to the machine. clear frees the owner's own."""
     for name in [n for n in _held if n != owner]:
         _held.pop(name)()
         gc.collect()
     if clear is not None:
         _held[owner] = clear
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)

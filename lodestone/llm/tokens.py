@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shuffle_width, worker_runs
+from lodestone.llm.common import open_fs, shuffle_width, worker_runs
 from lodestone.llm.wordhash import blocks, gather, hash_strings, string_buffers
 
 #: Texts' words whose ids a worker remembers: some 80 MB. Past this the older ones are forgotten; ids don't depend on it.
@@ -53,10 +53,6 @@ _SPACELESS = re.compile(rf"{_ALTERNATIVE}(?:\|{_ALTERNATIVE})*")
 _loaded: dict = {}
 
 
-def _fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def _parts(rule: dict | None, inner: str) -> list[dict]:
     if rule is None:
         return []
@@ -195,7 +191,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        fs, root = _fs(path)
+        fs, root = open_fs(path)
         name, own = f"{root}/part-{task.partitionId():06d}", uuid.uuid4().hex
         worker_runs("tokens", _loaded.clear)
         enc = encoder(rules.value)
@@ -231,7 +227,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
     for r in done:
         manifest["parts"].append({"part": r.part, "docs": r.docs, "tokens": r.tokens, "base": base, "first_doc": before})
         base, before = base + r.tokens, before + r.docs
-    fs, root = _fs(path)
+    fs, root = open_fs(path)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
@@ -263,14 +259,14 @@ class _File:
 
 def part_arrays(path: str, part: int, width: int) -> tuple[_File, _File, _File, _File]:
     """ids, offsets, doc_ids and null mask of a part."""
-    fs, root = _fs(path)
+    fs, root = open_fs(path)
     name = f"{root}/part-{part:06d}"
     return tuple(_File(fs, f"{name}.{end}", kind) for end, kind in (("ids", f"<u{width}"), ("off", "<i8"), ("doc", "<i8"), ("nul", "u1")))
 
 
 def read_tokens(spark: SparkSession, path: str, *, ids: bool = False) -> DataFrame:
     """Per document of the files: doc_id, start (ids before it), n_tokens, ids_crc32 (of 32-bit ids), and the ids if asked for."""
-    fs, root = _fs(path)
+    fs, root = open_fs(path)
     with fs.open_input_file(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
     width = manifest["width"]
