@@ -139,14 +139,15 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if byte_size(df)[1] <= limit else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
-    """left joined to right on columns that both have: right by broadcast where its bytes allow; else by a shuffle in which the rows
-    of a key that left holds often are dealt over several tasks, and right's rows of it copied to each.
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counted: DataFrame | None = None, broadcast: bool = True) -> DataFrame:
+    """left joined to right on columns that both have: right by broadcast where its bytes allow; else (or with broadcast=False,
+    for a side that grows with left) by a shuffle in which the rows of a key that left holds often are dealt over several
+    tasks, and right's rows of it copied to each.
 
     No key of right should be frequent; equal rows of left stay together. counted: a frame that is cheaper to
     read than left and holds its keys as often. An inner, left, left_semi or left_anti join.
     """
-    if byte_size(right)[1] <= BROADCAST_BYTES:
+    if broadcast and byte_size(right)[1] <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
     counts = (left if counted is None else counted).groupBy(*on).agg(F.count("*").alias("__n"))
     counts = cut(counts.where(F.col("__n") > SPREAD_ROWS))
@@ -156,5 +157,5 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     same = F.xxhash64(*(F.col(f"`{c}`") for c in left.columns))
     one = left.join(hot, on, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(same, F.col("__parts"))).cast("int")).drop("__parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))
-    two = right.join(hot, on, "left").withColumn("__salt", copies).drop("__parts")
+    two = right.join(hot, on, "left").withColumn("__salt", copies).drop("__parts").hint("merge")
     return one.join(two, [*on, "__salt"], how).drop("__salt")
