@@ -174,7 +174,7 @@ def drop_frequent_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     on = ["__ld_d", "__ld_none", "__ld_same"]
     by_row = keyed(gone, F.col("d"), F.col("same")).select(*on, "__ld_gone")
-    out = spread_join(keyed(docs, F.col(doc_id), F.xxhash64(F.col(text))), by_row, on, "left", counted=keyed(every, F.col("d"), F.col("same")))
+    out = spread_join(keyed(docs, F.col(doc_id), F.xxhash64(F.col(text))), by_row, on, "left", counted=keyed(every, F.col("d"), F.col("same")), broadcast=False)
     lines, at = lines_of(F.col(text)), F.col("__ld_gone")
     # a flag a line, up to the last one that goes: as many that stay as lie between two that go
     steps = F.transform(at, lambda p, i: p - F.coalesce(F.get(at, i - 1), F.lit(-1)))
