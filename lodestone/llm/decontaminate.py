@@ -7,11 +7,12 @@ window then gives the one place where the window could start (positional bound),
 the document (length bound), and the words there are compared with the window's (exact verification).
 
 Items come to the executors in blocks of a fixed number of words, one after another, however many
-there are. Documents are never shuffled, so no key can be hot.
+there are; equal windows of a block are one. Documents are never shuffled, so no key can be hot. Words are
+compared as 64-bit hashes. An item, of any length, is held whole on the driver.
 
 Edge cases: a null or empty text has no words and no hits; a null item text gives no window; repeated
 items count apart under their own ids; a null item id is listed as the empty string; extra columns stay
-as they are, and `into` names the one column that is added, in place of an earlier one of that name.
+as they are, texts of any length are read whole, and `into` names the one column that is added, in place of an earlier one of that name.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from lodestone.llm.wordhash import ALNUM, blocks, hash_words, shingles, string_b
 WINDOW = 13
 SHINGLE = 4
 BLOCK_WORDS = 500_000
+_OTHER = 0x3C6EF372FE94F82B
 
 RESULT = T.StructType(
     [
@@ -45,40 +47,62 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids",
 
 
 class Windows:
-    """The windows of a block of items: words[at[i] : at[i] + length[i]] is window i, of item item[i]."""
+    """The distinct windows of a block of items: words[at[i] : at[i] + length[i]] is window i, of the items item[of[i] : of[i + 1]]."""
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int):
         buf, off = string_buffers(pa.array(texts, pa.large_string()))
         self.words, first = hash_words(buf, off, ALNUM)
         self.ids = ids
-        at, length, item = [], [], []
-        for i in range(len(ids)):
-            s, e = int(first[i]), int(first[i + 1])
-            n = min(window, e - s)
-            if n:
-                at += range(s, e - n + 1)
-                length += [n] * (e - s - n + 1)
-                item += [i] * (e - s - n + 1)
-        self.at, self.length, self.item = (np.array(x, np.int64) for x in (at, length, item))
-        self.sizes = sorted({min(SHINGLE, int(n)) for n in np.unique(self.length)})
-        self.tokens = {q: np.unique(np.concatenate([shingles(self.words[a : a + n], q) for a, n in self._of(q)])) for q in self.sizes}
-
-    def _of(self, q: int) -> Iterator[tuple[int, int]]:
-        return ((int(a), int(n)) for a, n in zip(self.at, self.length, strict=True) if min(SHINGLE, n) == q)
+        size = np.diff(first)
+        n = np.minimum(size, window)
+        many = np.where(n > 0, size - n + 1, 0)
+        item = np.repeat(np.arange(len(ids)), many)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + first[:-1][item]
+        length = n[item]
+        # equal windows become one, with the items of all: they are told apart by 128 bits and their length
+        one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for x in np.unique(length):
+            own = np.flatnonzero(length == x)
+            one[own] = shingles(self.words, int(x))[at[own]]
+            two[own] = shingles(self.words ^ np.uint64(_OTHER), int(x))[at[own]]
+        by = np.lexsort((item, one, two, length))
+        new = np.ones(len(by), bool)
+        new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1]) | (length[by][1:] != length[by][:-1])
+        again = np.zeros(len(by), bool)
+        again[1:] = ~new[1:] & (item[by][1:] == item[by][:-1])
+        kept = np.flatnonzero(~again)
+        begin = np.flatnonzero(new[kept])
+        self.item, self.of = item[by[kept]], np.append(begin, len(kept))
+        self.at, self.length = at[by[kept[begin]]], length[by[kept[begin]]]
+        self.sizes = sorted({min(SHINGLE, int(x)) for x in np.unique(self.length)})
+        self.runs = {q: shingles(self.words, q) for q in self.sizes}
+        self.tokens = {q: np.unique(np.concatenate([self.runs[q][p.ravel()] for _, p in self._places(q)])) for q in self.sizes}
+
+    def _places(self, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows of one length whose shingles have q words, and where these begin, a row a window."""
+        for x in np.unique(self.length):
+            if min(SHINGLE, int(x)) == q:
+                own = np.flatnonzero(self.length == x)
+                yield own, self.at[own][:, None] + np.arange(int(x) - q + 1)
 
     def order(self, df: dict[int, np.ndarray]) -> None:
         """Chooses the rarest shingle of each window as the prefix, given how many documents hold each."""
         self.keys: dict[int, tuple] = {}
         for q in self.sizes:
-            own = np.flatnonzero(np.minimum(self.length, SHINGLE) == q)
-            key, place = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
-            for j, w in enumerate(own):
-                runs = shingles(self.words[self.at[w] : self.at[w] + self.length[w]], q)
-                best = np.lexsort((runs, df[q][np.searchsorted(self.tokens[q], runs)]))[0]
-                key[j], place[j] = runs[best], best
+            rank = np.empty(len(self.tokens[q]), np.int64)
+            rank[np.lexsort((self.tokens[q], df[q]))] = np.arange(len(rank))
+            wins, keys, places = [], [], []
+            for own, p in self._places(q):
+                runs = self.runs[q][p]
+                best = np.argmin(rank[np.searchsorted(self.tokens[q], runs)], axis=1)
+                wins.append(own)
+                keys.append(runs[np.arange(len(own)), best])
+                places.append(best)
+            own, key, place = np.concatenate(wins), np.concatenate(keys), np.concatenate(places)
             by = np.argsort(key, kind="stable")
             distinct, begin = np.unique(key[by], return_index=True)
             self.keys[q] = (distinct, np.append(begin, len(by)), own[by], place[by], _sieve(distinct))
+        del self.runs
 
 
 def _sieve(hashes: np.ndarray) -> np.ndarray:
@@ -174,8 +198,8 @@ def _mark(docs: DataFrame, text: str, into: str, win: Windows, former: str | Non
                 np.add.at(depth, start + win.length[w], -1)
                 hit = np.cumsum(depth)[:-1] > 0
                 ids: dict[int, set[str]] = {}
-                for d, i in set(zip(doc.tolist(), win.item[w].tolist(), strict=True)):
-                    ids.setdefault(d, set()).add(win.ids[i])
+                for d, x in set(zip(doc.tolist(), w.tolist(), strict=True)):
+                    ids.setdefault(d, set()).update(win.ids[i] for i in win.item[win.of[x] : win.of[x + 1]].tolist())
                 for i in range(b - a):
                     s, e = int(first[i]), int(first[i + 1])
                     own, prior = hit[s:e], old[a + i] if old else None
