@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows
+from lodestone.llm.common import arrow_rows, worker_runs
+from lodestone.scratch import cut, scratch
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Bound of the fitting sample, in documents.
 MAX_ROWS = 6000
+#: Bound of their vectors, in bytes: a longer sample is thinned by its hash before it is sent to the driver.
+MAX_BYTES = 192 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-5
 PIECE = 1 << 18
@@ -176,7 +179,7 @@ def sample(labelled: DataFrame, max_rows: int) -> DataFrame:
     return labelled.where(unit < share)
 
 
-def train(docs: DataFrame, *, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, *, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """The model learned from docs; doc_id only picks the sample."""
     spark = docs.sparkSession
     labelled = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id), F.lit(11)).alias("key"))
@@ -195,7 +198,11 @@ def train(docs: DataFrame, *, lang: str = "lang", text: str = "text", doc_id: st
                 cols = list(zip(*out, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["at", "x", "lang", "key"])
 
-        rows = sample(labelled, max_rows).mapInArrow(vectors, "at binary, x binary, lang string, key long").collect()  # bounded by max_rows
+        with scratch(spark):
+            found = cut(sample(labelled, max_rows).mapInArrow(vectors, "at binary, x binary, lang string, key long"))
+            size = found.agg(F.sum(F.octet_length("at") + F.octet_length("x"))).first()[0] or 0
+            thin = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < (1 << 20) * min(1.0, max_bytes / max(size, 1))
+            rows = found.where(thin).collect()  # about max_rows and max_bytes at most
     langs = sorted({r.lang for r in rows})
     rows = sorted(rows, key=lambda r: (r.key, r.lang, bytes(r.at)))
     data = [(np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.x, np.float32).astype(np.float64), langs.index(r.lang)) for r in rows]
@@ -212,6 +219,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_runs("langid")
         for batch in batches:
             said = [sent.value.predict(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(i + 1) for i in range(len(keep))] + [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=[*keep, "lang_pred", "score"])
@@ -223,4 +231,5 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a document is kept from learning. A null doc_id isn't."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
