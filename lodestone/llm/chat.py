@@ -15,7 +15,8 @@ trainable span (target_turn null), so no turn is lost.
 Edge cases: rows are ordered by turn (null first), then role, then text; a null text or role is empty;
 turns may repeat; a null conv_id is a conversation of its own; an empty table gives no examples; extra
 columns are not carried. The examples of a conversation hold each other's beginnings, so their size
-grows with the square of its turns: that is the format itself.
+grows with the square of its turns: that is the format itself. A conversation is put together in one
+task, which needs a few times its text in memory (repeated rows are turns of their own).
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ remainder, and refine only that bucket by the next 10 bits, until it holds one d
 Thresholds are nested: a smaller target keeps a subset of what a larger one keeps.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; sources without
-words have target 0 and take nothing; rows that repeat a doc_id share its hash and are taken alike; an
-empty table gives an empty result; other columns of docs stay untouched.
+words have target 0 and take nothing; a text of any length is counted whole; rows that repeat a doc_id share its hash and are taken alike; an
+empty table gives an empty result; other columns of docs stay untouched, whatever their names. The
+sources are ordered in one task, a row a source: some millions of them at most.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
             break
         shift = 60 - BITS * (level + 1)
         inside = F.shiftright("h", shift + BITS) == F.shiftright("below", shift + BITS)
-        hist = narrow.join(open_, F.col("source").eqNullSafe(F.col("s")) & inside).groupBy("s", "below", "left", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
+        hist = narrow.join(small(open_), F.col("source").eqNullSafe(F.col("s")) & inside).groupBy("s", "below", "left", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
         run = W.partitionBy("s").orderBy("b")
         hist = hist.withColumn("upto", F.sum("sum").over(run))
         edge = hist.where(F.col("upto") > F.col("left")).groupBy("s").agg(F.min_by(F.struct("b", "n", (F.col("upto") - F.col("sum")).alias("before"), "sum"), "b").alias("e"))

@@ -13,7 +13,8 @@ Sums are grouped aggregations over all documents, summed in each task first, so
 all rows is one row a task. The regression is fitted on at most about `max_rows` labelled documents,
 picked by a hash; everything else covers all documents.
 
-Edge cases: a null or empty text is judged by its features (all zero) like any other; a null host or path
+Edge cases: a null or empty text is judged by its features (all zero) like any other; a text of any
+length is read whole; a null host or path
 is a site of its own; labels that are null are left out, repeated ones averaged; without labels of both
 kinds nothing is rejected (score 1); repeated rows count as often as they occur; an empty table gives an
 empty result; extra columns are not carried.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_rows, cut, worker_runs
 from lodestone.llm.wordhash import NOT_SPACE, blocks, hash_words, string_buffers
+from lodestone.scratch import spread_join
 
 #: Bound of the fitting sample, in labelled documents.
 MAX_ROWS = 20_000
@@ -145,7 +147,9 @@ def posteriors(found: DataFrame) -> tuple[DataFrame, float, float, float]:
     """(host, path, n, s, hn, hs) with documents and sums of p of paths and hosts; the global share m and the strengths of global over host and host over path."""
     paths = cut(found.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    sites = cut(paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h"))
+    of_host = hosts.select(F.coalesce("host", F.lit("")).alias("__h"), F.col("host").isNull().alias("__n"), "hn", "hs")
+    named = paths.withColumns({"__h": F.coalesce("host", F.lit("")), "__n": F.col("host").isNull()})
+    sites = cut(spread_join(named, cut(of_host), ["__h", "__n"]).drop("__h", "__n"))
     total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count("*").alias("k")).first()
     if not total.n:
         return sites, 1.0, 1.0, 1.0
@@ -169,8 +173,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column,
         one = F.lit(1.0)
         return found.select("doc_id", "same", "host", "path", F.col("p").alias("p_text"), one.alias("p_site"), one.alias("score"), F.lit(True).alias("keep"))
     sites, m, top, low = posteriors(found)
-    sites = sites.withColumnsRenamed({"host": "h", "path": "q"})
-    both = found.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    # a host may hold a third of all rows
+    key = lambda df: df.withColumns({"__h": F.coalesce("host", F.lit("")), "__p": F.coalesce("path", F.lit("")), "__n": F.col("host").isNull().cast("int") * 2 + F.col("path").isNull().cast("int")})
+    both = spread_join(key(found), key(sites).drop("host", "path"), ["__h", "__p", "__n"])
     clip = lambda x: F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))
     host_prior = (F.col("hs") - F.col("p") + top * m) / (F.col("hn") - 1 + top)
     site = clip((F.col("s") - F.col("p") + low * host_prior) / (F.col("n") - 1 + low))
