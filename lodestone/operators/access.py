@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,27 @@ def readable(rows: DataFrame, granted: DataFrame, *, row_id: str, project: str =
     return out.select("query_id", row_id)
 
 
+def scope_keys(rows: DataFrame, granted: DataFrame, project: str = "gitlab_project_id") -> dict[str, str]:
+    """Columns of granted that say what may be read, each with its name in rows."""
+    return {k: k for k in ("tenant_id", "branch") if k in granted.columns and k in rows.columns} | {"project_id": project}
+
+
+def permit(rows: DataFrame, granted: DataFrame, row_id: str, *, project: str = "gitlab_project_id", active: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A filter of scored rows (query_id, doc_id, ...): those whose row, by its id, is in a scope that the query is granted.
+
+    Scored rows take up their row's scope and are held against the grants; no pair of query and readable row is made.
+    """
+    keys = scope_keys(rows, granted, project)
+    own = rows if active is None else rows.where(F.col(active))
+    own = own.select(F.col(row_id).alias("doc_id"), *(F.col(c).alias(f"__{k}") for k, c in keys.items()))
+    grants_ = granted.select("query_id", *(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+
+    def only(scored: DataFrame) -> DataFrame:
+        return scored.join(own, "doc_id").join(grants_, ["query_id", *(f"__{k}" for k in keys)], "left_semi").select(*scored.columns)
+
+    return only
+
+
 def scope(tenant: str, branch: str, projects: list[str], repo_paths: list[str] | None = None, *, project: str = "gitlab_project_id", active: str | None = "active_snapshot") -> Column:
     """The filter of a single request as a predicate that reaches the scan. No projects: nothing passes."""
     out = (F.col("tenant_id") == tenant) & (F.col("branch") == branch) & F.col(project).isin(projects)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.identity import short_name, stable_id
+from lodestone.operators.lexical import Allowed
 from lodestone.scratch import cut
 
 #: Edge types followed for each query class.
@@ -40,13 +42,13 @@ def seeds(fused: DataFrame, n: int = SEEDS) -> DataFrame:
     return fused.where((F.col("rank") <= n) & F.col("symbol_fqn").isNotNull()).select("query_id", F.col("symbol_fqn").alias("fqn")).distinct()
 
 
-def neighbours(frontier: DataFrame, edges: DataFrame, symbols: DataFrame, policy: DataFrame, limit: int = MAX_NEIGHBORS, granted: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def neighbours(frontier: DataFrame, edges: DataFrame, symbols: DataFrame, policy: DataFrame, limit: int = MAX_NEIGHBORS, granted: DataFrame | None = None, allowed: Allowed = None) -> DataFrame:
     """(query_id, chunk_id, symbol_fqn, place): definitions at the other end of the frontier's edges.
 
     frontier: query_id, query_type, fqn. Either end of an edge may be the seed: two equi-joins, united.
     The other end is matched by qualified name or by short name, again united. At most max(5 limit, 25)
     edges, max(2 limit, 20) symbols and limit chunks a query, by confidence and then by id. granted, rows of (query_id, tenant_id, branch, project_id),
-    and allowed, pairs of (query_id, chunk_id), say what a query may read; edges and symbols beyond it go before each cut.
+    and allowed, pairs of (query_id, chunk_id) or a filter of (query_id, doc_id, ...), say what a query may read; edges and symbols beyond it go before each cut.
     """
     want = frontier.join(F.broadcast(policy), "query_type")
     keys = [] if granted is None else [k for k in ("tenant_id", "branch") if k in granted.columns and k in edges.columns] + ["project_id"]
@@ -62,7 +64,9 @@ def neighbours(frontier: DataFrame, edges: DataFrame, symbols: DataFrame, policy
     full = names.join(defined, F.col("other") == F.col("symbol_fqn"))
     short = names.join(defined, short_name(F.col("other")) == F.col("symbol_name"))
     found = full.unionByName(short).groupBy("query_id", "symbol_id", "symbol_fqn", "chunk_id").agg(F.min("n").alias("n"))
-    if allowed is not None:
+    if callable(allowed):
+        found = allowed(found.withColumnRenamed("chunk_id", "doc_id")).withColumnRenamed("doc_id", "chunk_id")
+    elif allowed is not None:
         found = found.join(allowed, ["query_id", "chunk_id"], "left_semi")
     by_symbol = W.partitionBy("query_id").orderBy("n", "symbol_id")
     found = found.withColumn("k", F.row_number().over(by_symbol)).where(F.col("k") <= max(2 * limit, 20))
@@ -71,7 +75,7 @@ def neighbours(frontier: DataFrame, edges: DataFrame, symbols: DataFrame, policy
     return chunks.select("query_id", "chunk_id", "x.symbol_fqn", place.alias("place")).where(F.col("place") <= limit)
 
 
-def expand(fused: DataFrame, queries: DataFrame, edges: DataFrame, symbols: DataFrame, *, hops: int = HOPS, limit: int = MAX_NEIGHBORS, n_seeds: int = SEEDS, granted: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def expand(fused: DataFrame, queries: DataFrame, edges: DataFrame, symbols: DataFrame, *, hops: int = HOPS, limit: int = MAX_NEIGHBORS, n_seeds: int = SEEDS, granted: DataFrame | None = None, allowed: Allowed = None) -> DataFrame:
     """(query_id, chunk_id, rank, graph_expanded): up to limit new chunks a query, over several hops.
 
     Each hop is a join against what was met before; it is materialised and ends when no query has a

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import lexical as L
+from lodestone.operators.access import permit
 from lodestone.operators.vector import knn
+from lodestone.scratch import scratch
 
 
 def exact_matches(rows: DataFrame, wanted: DataFrame, keys: list[str], row_id: str) -> DataFrame:
@@ -22,19 +24,25 @@ def exact_matches(rows: DataFrame, wanted: DataFrame, keys: list[str], row_id: s
     return out.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
-def keyed_search(rows: DataFrame, wanted: DataFrame, *, row_id: str, keys: list[str], boosts: dict[str, float], n: int, chunk: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """Exact and BM25 scores of a batch of identifiers (query_id, identifier), summed; at least one must match. allowed: (query_id, chunk_id) of the chunks that rows may stand for, applied before the cut."""
+def keyed_search(rows: DataFrame, wanted: DataFrame, *, row_id: str, keys: list[str], boosts: dict[str, float], n: int, chunk: str | None = None, allowed: L.Allowed = None) -> DataFrame:
+    """Exact and BM25 scores of a batch of identifiers (query_id, identifier), summed; at least one must match.
+
+    allowed, applied before the cut: (query_id, chunk_id) of the chunks that rows may stand for, or a function that filters (query_id, doc_id, ...).
+    """
     analysed = rows.withColumns({f: F.translate(F.col(f), "./", "  ") for f in boosts if f in rows.columns})
     fields = {f: b for f, b in boosts.items() if f in rows.columns}
     text = wanted.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("identifier")), " ").alias("text")).withColumn("text", F.translate("text", "./", "  "))
-    scored = L.bm25_scores(L.postings(analysed, row_id, list(fields)), L.field_stats(analysed, list(fields)), L.query_terms(text, "query_id", "text"), fields)
-    both = scored.unionByName(exact_matches(rows, wanted, keys, row_id)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-    if allowed is not None:
-        both = both.join(rows.select(F.col(row_id).alias("doc_id"), F.col(chunk).alias("chunk_id")), "doc_id").join(allowed, ["query_id", "chunk_id"], "left_semi").drop("chunk_id")
-    return L.top_n(both, n)
+    with scratch(rows.sparkSession) as keep:
+        scored = L.bm25_scores(analysed, L.query_terms(text, "query_id", "text"), fields, doc_id=row_id)
+        both = scored.unionByName(exact_matches(rows, wanted, keys, row_id)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+        if allowed is not None and not callable(allowed):
+            both = both.join(rows.select(F.col(row_id).alias("doc_id"), F.col(chunk).alias("chunk_id")), "doc_id").join(allowed, ["query_id", "chunk_id"], "left_semi").drop("chunk_id")
+        else:
+            both = L.permitted(both, allowed)
+        return keep(L.top_n(both, n))
 
 
-def symbol_search(symbols: DataFrame, chunks: DataFrame, wanted: DataFrame, n: int, allowed: DataFrame | None = None) -> DataFrame:
+def symbol_search(symbols: DataFrame, chunks: DataFrame, wanted: DataFrame, n: int, allowed: L.Allowed = None) -> DataFrame:
     """Chunks that define the symbols found, in the order of the symbols' scores."""
     found = keyed_search(symbols, wanted, row_id="symbol_id", keys=["symbol_name", "symbol_fqn"], boosts=L.SYMBOL_BOOSTS, n=n, chunk="definition_chunk_id", allowed=allowed)
     own = found.join(symbols.select(F.col("symbol_id").alias("doc_id"), F.col("definition_chunk_id").alias("chunk_id")), "doc_id")
@@ -42,7 +50,7 @@ def symbol_search(symbols: DataFrame, chunks: DataFrame, wanted: DataFrame, n: i
     return L.top_n(best, n, id_col="chunk_id")
 
 
-def edge_search(edges: DataFrame, chunks: DataFrame, wanted: DataFrame, n: int, allowed: DataFrame | None = None) -> DataFrame:
+def edge_search(edges: DataFrame, chunks: DataFrame, wanted: DataFrame, n: int, allowed: L.Allowed = None) -> DataFrame:
     """Chunks that the edges found start from, flagged edge_match."""
     found = keyed_search(edges, wanted, row_id="edge_id", keys=["source_symbol_fqn", "target_symbol_fqn"], boosts=L.EDGE_BOOSTS, n=n, chunk="source_chunk_id", allowed=allowed)
     own = found.join(edges.select(F.col("edge_id").alias("doc_id"), F.col("source_chunk_id").alias("chunk_id")), "doc_id")
@@ -50,12 +58,14 @@ def edge_search(edges: DataFrame, chunks: DataFrame, wanted: DataFrame, n: int,
     return L.top_n(best, n, id_col="chunk_id").withColumn("edge_match", F.lit(True))
 
 
-def community_search(communities: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
-    """BM25 over summary and label plus (1 + cosine) / 2, summed. queries: query_id, query, embedding."""
-    scored = L.bm25_scores(L.postings(communities, "community_id", list(L.COMMUNITY_BOOSTS)), L.field_stats(communities, list(L.COMMUNITY_BOOSTS)), L.query_terms(queries, "query_id", "query"), L.COMMUNITY_BOOSTS)
-    near = knn(communities, queries, max(8 * n, 50), vec_id="community_id", vec="embedding_dense", query_id="query_id", query_vec="embedding").select("query_id", "doc_id", ((1 + F.col("score")) / 2).alias("score"))
-    both = scored.unionByName(near).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-    return L.top_n(both, n)
+def community_search(communities: DataFrame, queries: DataFrame, n: int = 3, granted: DataFrame | None = None) -> DataFrame:
+    """BM25 over summary and label plus (1 + cosine) / 2, summed. queries: query_id, query, embedding. granted, rows of (query_id, tenant_id, branch, project_id): a query meets the communities of these projects alone."""
+    with scratch(communities.sparkSession) as keep:
+        scored = L.bm25_scores(communities, L.query_terms(queries, "query_id", "query"), L.COMMUNITY_BOOSTS, doc_id="community_id")
+        allowed = None if granted is None else permit(communities, granted, "community_id")
+        near = knn(communities, queries, max(8 * n, 50), vec_id="community_id", vec="embedding_dense", query_id="query_id", query_vec="embedding", granted=granted).select("query_id", "doc_id", ((1 + F.col("score")) / 2).alias("score"))
+        both = L.permitted(scored, allowed).unionByName(near).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+        return keep(L.top_n(both, n))
 
 
 def community_hits(communities: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestone.operators.access import scope_keys
 from lodestone.operators.lexical import top_n
 
 DENSE, LATE, LATE_TOKENS, LATE_QUERY = 384, 128, 128, 32
@@ -68,8 +70,8 @@ def mean_pool(vectors: Column, dim: int) -> Column:
 
 def embed_batches(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], *, text: str = "text", into: str = "embedding", batch: int = 64) -> DataFrame:
     """rows with vectors from a provider that takes lists of texts; each task sends its own batches."""
-    schema = rows.schema.add(into, "array<double>")
-    names = rows.columns
+    names = [c for c in rows.columns if c != into]
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField(into, T.ArrayType(T.DoubleType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -80,6 +82,33 @@ def embed_batches(rows: DataFrame, provider: Callable[[list[str]], list[list[flo
     return rows.mapInPandas(run, schema)
 
 
+def fit_dim(vector: Column, dim: int) -> Column:
+    """vector cut or filled with zeros to dim."""
+    v = vector.cast("array<double>")
+    return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), dim)), 1, dim)
+
+
+def embed_with(rows: DataFrame, provider: str = "auto", *, text: str = "text", into: str = "embedding", dim: int = DENSE, model: Callable[[list[str]], list[list[float]]] | None = None, remote: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """rows with vectors of dim by the provider asked for: `local`, a model that each task calls on its batches; else (`auto`, `http`, `hash`) a remote one if there is one, and the hash embedding where that fails or gives nothing for a batch."""
+    if provider == "local":
+        if model is None:
+            raise ValueError("the local provider needs a model")
+        return embed_batches(rows, model, text=text, into=into).withColumn(into, fit_dim(F.col(into), dim))
+    if provider not in ("auto", "http", "hash"):
+        raise ValueError(f"no such provider: {provider}")
+    if provider == "hash" or remote is None:
+        return rows.withColumn(into, hash_embedding(dim)(F.col(text)))
+
+    def guarded(texts: list[str]) -> list[list[float]]:
+        try:
+            got = remote(texts)
+        except Exception:  # an endpoint that can't be reached
+            got = []
+        return got if len(got) == len(texts) and all(got) else [embed(t, dim) for t in texts]
+
+    return embed_batches(rows, guarded, text=text, into=into).withColumn(into, fit_dim(F.col(into), dim))
+
+
 def parse_embedding_reply(reply: object) -> list[list[float]]:
     """Vectors of a provider's answer: a list, its results or data, or a single vector; anything else is empty."""
     if isinstance(reply, dict):
@@ -119,17 +148,21 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, n: int, *, vec_id: str, vec: str, query_id: str, query_vec: str, block: int = QUERY_BLOCK, allowed: DataFrame | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, n: int, *, vec_id: str, vec: str, query_id: str, query_vec: str, block: int = QUERY_BLOCK, allowed: DataFrame | None = None, granted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the n nearest by cosine, exact.
 
     Queries go out in blocks of a fixed number; each task multiplies its vectors with a block and keeps
-    its n best a query, so what is shuffled is n rows a query and task. Filters on vectors apply before, and so does allowed: (query_id, doc_id)
-    pairs that may be returned.
+    its n best a query, so what is shuffled is n rows a query and task. Filters on vectors apply before, and
+    so do allowed, (query_id, doc_id) pairs that may be returned, and granted, rows of (query_id, tenant_id,
+    branch, project_id): a scope's readers go to its vectors, in one row a scope.
     """
     spark = vectors.sparkSession
-    own = vectors.select(F.col(vec_id).alias("i"), F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0))
-    filtered = allowed is not None
-    if filtered:
+    keys = scope_keys(vectors, granted) if granted is not None else {}
+    own = vectors.select(F.col(vec_id).alias("i"), F.col(vec).cast("array<double>").alias("v"), *(F.col(c).alias(k) for k, c in keys.items())).where(F.col("v").isNotNull() & (F.size("v") > 0))
+    filtered = allowed is not None or granted is not None
+    if granted is not None:
+        own = own.join(granted.groupBy(*keys).agg(F.collect_set("query_id").alias("readers")), list(keys)).select("i", "v", "readers")
+    elif filtered:
         own = own.join(allowed.groupBy(F.col("doc_id").alias("i")).agg(F.collect_set("query_id").alias("readers")), "i")
     kind, qkind = dict(own.dtypes)["i"], dict(queries.select(query_id).dtypes)[query_id]
     out = None

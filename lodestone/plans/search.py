@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import querytext as Q
-from lodestone.scratch import cut
 from lodestone.operators import access, fuse, graph, legs, lexical
 from lodestone.operators.vector import DENSE, hash_embedding, knn
+from lodestone.scratch import cut, scratch
 from lodestone.shipping import ship
 
 
@@ -31,29 +31,36 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], *, permissions: Dat
 
     tables: chunks, symbols, edges, chunk_vec (chunk_id, dense), and communities if there are any.
     """
+    with scratch(queries.sparkSession) as kept:
+        return kept(_search(queries, tables, permissions, top_k, hops))
+
+
+def _search(queries: DataFrame, tables: dict[str, DataFrame], permissions: DataFrame | None, top_k: int, hops: int) -> DataFrame:
     keep = cut
     q = keep(prepare(queries))
     chunks, symbols, edges = tables["chunks"], tables["symbols"], tables["edges"]
-    granted = allowed = chunks_allowed = None
+    vectors = tables["chunk_vec"]
+    granted = of_chunks = of_symbols = of_edges = None
     if permissions is not None:
         granted = keep(access.grants(access.resolve(queries, permissions)))
-        allowed = access.readable(chunks, granted, row_id="chunk_id", active="active_snapshot").withColumnRenamed("chunk_id", "doc_id")
-        chunks_allowed = allowed.withColumnRenamed("doc_id", "chunk_id")
+        of_chunks = access.permit(chunks, granted, "chunk_id", active="active_snapshot")
+        of_symbols, of_edges = access.permit(symbols, granted, "symbol_id"), access.permit(edges, granted, "edge_id", project="source_repo_project_id" if "gitlab_project_id" not in edges.columns else "gitlab_project_id")
+        vectors = vectors.select("chunk_id", "dense").join(chunks.where("active_snapshot").select("chunk_id", *access.scope_keys(chunks, granted).values()), "chunk_id")
     wanted = q.select("query_id", F.explode("identifiers").alias("identifier"))
     boosts = {f: b for f, b in lexical.CHUNK_BOOSTS.items() if f in chunks.columns}
     words = chunks.withColumns({f: F.translate(F.col(f), "./", "  ") for f in ("symbol_fqn", "file_path") if f in boosts})
-    by_text = keep(lexical.bm25_search(words, q, doc_id="chunk_id", query_id="query_id", query="expanded", boosts=boosts, n=2 * top_k, allowed=allowed))
-    by_vector = knn(tables["chunk_vec"], q, max(16 * top_k, 50), vec_id="chunk_id", vec="dense", query_id="query_id", query_vec="embedding", allowed=allowed)
+    by_text = keep(lexical.bm25_search(words, q, doc_id="chunk_id", query_id="query_id", query="expanded", boosts=boosts, n=2 * top_k, allowed=of_chunks))
+    by_vector = knn(vectors, q, max(16 * top_k, 50), vec_id="chunk_id", vec="dense", query_id="query_id", query_vec="embedding", granted=granted)
     by_vector = keep(lexical.top_n(by_vector.drop("rank"), 2 * top_k))
-    by_symbol = keep(legs.symbol_search(symbols, chunks, wanted, top_k, chunks_allowed))
-    by_edge = keep(legs.edge_search(edges, chunks, wanted, 2 * top_k, chunks_allowed))
+    by_symbol = keep(legs.symbol_search(symbols, chunks, wanted, top_k, of_symbols))
+    by_edge = keep(legs.edge_search(edges, chunks, wanted, 2 * top_k, of_edges))
     ranked = [fuse.as_leg(by_symbol, "symbol"), fuse.as_leg(by_edge, "edge"), fuse.as_leg(by_text, "lexical"), fuse.as_leg(by_vector, "vector")]
     first = keep(fuse.rrf(ranked).join(chunks.select("chunk_id", "symbol_fqn"), "chunk_id"))
-    more = keep(graph.expand(first, q, edges, symbols, hops=hops, granted=granted, allowed=chunks_allowed))
+    more = keep(graph.expand(first, q, edges, symbols, hops=hops, granted=granted, allowed=of_chunks))
     ranked.append(fuse.as_leg(more, "neighbor"))
     payload = legs.chunk_hits(chunks)
     if "communities" in tables:
-        ranked.append(fuse.as_leg(legs.community_search(tables["communities"], q), "community"))
+        ranked.append(fuse.as_leg(legs.community_search(tables["communities"], q, granted=granted), "community"))
         payload = payload.unionByName(legs.community_hits(tables["communities"]))
     fused = fuse.rrf(ranked)
     hits = fused.join(payload.drop("text"), "chunk_id").join(q.select("query_id", "query_type", "identifiers"), "query_id")
