@@ -21,6 +21,9 @@ PATTERNS = [
     ("jwt", True, r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("assignment", False, r"(?i:\b(?:api_?key|api_?token|access_?token|auth_?token|token|secret|password|passwd)\b\s*[:=]\s*[\"'][^\"'\n]{12,}[\"'])"),
 ]
+#: Strings of which one stands in every find of the patterns above: as they are, and in lower case.
+TELLTALES = ["-----BEGIN ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "AKIA", "ASIA", "xox", "AIza", "eyJ"]
+ASSIGNED = ["api_key", "apikey", "token", "secret", "password", "passwd"]
 ANY = "|".join(p for _, _, p in PATTERNS)
 
 
@@ -42,8 +45,24 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, ANY, PLACEHOLDER)
 
 
+def may_hold_secrets(text: Column) -> Column:
+    """Whether a text holds a string that each of the patterns needs; most texts don't and are passed by."""
+    out = F.lit(False)
+    for x in TELLTALES:
+        out = out | F.contains(text, F.lit(x))
+    low = F.lower(text)
+    for x in ASSIGNED:
+        out = out | F.contains(low, F.lit(x))
+    return out
+
+
 def findings(text: Column) -> Column:
     """struct(text, count, high, types): the redacted text, how many secrets, how many of high confidence, their sorted distinct types."""
+    none = F.struct(text.alias("text"), F.size(F.array().cast("array<string>")).alias("count"), F.size(F.array().cast("array<string>")).alias("high"), F.array().cast("array<string>").alias("types"))
+    return F.when(may_hold_secrets(text) | text.isNull(), _findings(text)).otherwise(none)
+
+
+def _findings(text: Column) -> Column:
     types = F.transform(secrets(text), secret_type)
     sure = [k for k, high, _ in PATTERNS if high]
     return F.struct(

@@ -7,6 +7,8 @@ before anything is derived from it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,9 +95,13 @@ def chunk_rows(raws: DataFrame, described: DataFrame, base_url: str) -> DataFram
             "active_snapshot": F.lit(True),
         }
     ).withColumn("embedding_input_hash", stable_id(F.col("enriched")))
-    classes = out.where("kind = 'class_definition' and symbol_name is not null").groupBy(*KEYS, F.col("symbol_name").alias("top")).agg(F.max_by("chunk_id", "ordinal").alias("parent_chunk_id"))
-    out = out.withColumn("top", F.substring_index("parent_symbol", ".", 1)).join(classes, [*KEYS, "top"], "left")
-    return out.drop("found", "text", "top").withColumnRenamed("enriched", "text").withColumnRenamed("kind", "chunk_kind")
+    return link_parents(out).drop("found", "text").withColumnRenamed("enriched", "text").withColumnRenamed("kind", "chunk_kind")
+
+
+def link_parents(chunks: DataFrame) -> DataFrame:
+    """chunks with parent_chunk_id: the last chunk of the class in the file that a chunk's outermost parent names."""
+    classes = chunks.where("kind = 'class_definition' and symbol_name is not null").groupBy(*KEYS, F.col("symbol_name").alias("top")).agg(F.max_by("chunk_id", "ordinal").alias("parent_chunk_id"))
+    return chunks.withColumn("top", F.substring_index("parent_symbol", ".", 1)).join(classes, [*KEYS, "top"], "left").drop("top")
 
 
 def symbol_rows(chunks: DataFrame) -> DataFrame:
@@ -156,11 +162,13 @@ def file_rows(described: DataFrame, chunks: DataFrame) -> DataFrame:
     return described.select(*key, *[c for c in described.columns if c not in (*KEYS, "content")]).join(per, KEYS, "left")
 
 
-def ingest(files: DataFrame, *, metadata: DataFrame | None = None, base_url: str = "https://gitlab.example.com", skip_secrets: bool = False) -> dict[str, DataFrame]:
-    """files to the tables files, chunks, symbols and edges."""
+def ingest(files: DataFrame, *, metadata: DataFrame | None = None, base_url: str = "https://gitlab.example.com", skip_secrets: bool = False, settle: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """files to the tables files, chunks, symbols and edges. settle, given the chunks, keeps them, so that files are parsed once for all tables."""
     described = indexable(describe_files(files, metadata))
     chunks = chunk_rows(raw_chunks(described), described, base_url)
     chunks = one_per_id(chunks)
+    if settle is not None:
+        chunks = settle(chunks)
     symbols, edges = symbol_rows(chunks), edge_rows(chunks)
     if skip_secrets:
         chunks, symbols, edges = drop_secret_chunks(chunks, symbols, edges)

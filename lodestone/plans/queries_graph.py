@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import access, graph, vector
+from lodestone.plans import ingest
 from lodestone.plans.book import Book, table
 from lodestone.sources import files as files_
 from lodestone.sources import tables as T
@@ -65,7 +66,7 @@ def _seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @BOOK.query(
     f"""WITH {GRAPH_SQL}, e2 AS (SELECT DISTINCT src, raw, sha256(src || '|' || raw) AS edge_id FROM ed),
-q AS (SELECT s_suppkey AS query_id, 'shop.r' || (s_suppkey % 5) || '.S' || s_suppkey AS fqn FROM supplier WHERE s_suppkey % 10 = 0),
+q AS (SELECT s_suppkey AS query_id, 'shop.r' || (s_suppkey % 5) || '.S' || s_suppkey AS fqn FROM supplier),
 m AS (SELECT query_id, edge_id, raw AS other FROM q JOIN e2 ON src = fqn UNION ALL SELECT query_id, edge_id, src FROM q JOIN e2 ON raw = fqn),
 m2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY edge_id, other) AS n FROM m QUALIFY n <= 50),
 nm AS (SELECT query_id, other, min(n) AS n FROM m2 WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.query_id = m2.query_id AND q.fqn = m2.other) GROUP BY ALL),
@@ -75,10 +76,8 @@ f3 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS rank FROM f3 JOIN q USING (query_id) WHERE chunk_id <> 'r' || (query_id % 5) || ':S' || query_id"""
 )
 def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the queries that its SQL asks: a tenth of the suppliers. k_hop asks all of them."""
     symbols, edges = code_graph(spark, sf_dir)
-    fused, kinds = (df.where("query_id % 10 = 0") for df in _seeded(spark, sf_dir))
-    return graph.expand(fused, kinds, edges, symbols, hops=1).select("query_id", "chunk_id", "rank")
+    return graph.expand(*_seeded(spark, sf_dir), edges, symbols, hops=1).select("query_id", "chunk_id", "rank")
 
 
 @BOOK.query()
@@ -109,10 +108,13 @@ def orphan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query("SELECT l.l_orderkey, l.l_linenumber, p.parent FROM lineitem l LEFT JOIN (SELECT l_orderkey, max_by(l_partkey, l_linenumber * 100000000 + l_partkey) AS parent FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey) p USING (l_orderkey) WHERE l.l_linenumber > 2")
 def parent_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two lines of an order as its classes, of which the last counts, the others as their members."""
-    line = table(spark, sf_dir, "lineitem")
-    classes = line.where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("parent"))
-    return line.where("l_linenumber > 2").join(classes, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "parent")
+    """Orders as files: the first two lines are chunks of one class, of which the last counts, the others chunks of its members."""
+    first = F.col("l_linenumber") <= 2
+    line = table(spark, sf_dir, "lineitem").select(
+        *(F.lit("x").alias(k) for k in ingest.KEYS if k != "file_path"), F.col("l_orderkey").alias("file_path"), (F.col("l_linenumber") * 100000000 + F.col("l_partkey")).alias("ordinal"), F.col("l_partkey").alias("chunk_id"), "l_linenumber",
+        F.when(first, "class_definition").otherwise("method_definition").alias("kind"), F.when(first, "Order").otherwise(F.concat(F.lit("line"), "l_linenumber")).alias("symbol_name"), F.when(~first, "Order.lines").alias("parent_symbol"),
+    )
+    return ingest.link_parents(line).where("l_linenumber > 2").select(F.col("file_path").alias("l_orderkey"), "l_linenumber", F.col("parent_chunk_id").alias("parent"))
 
 
 def _permissions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

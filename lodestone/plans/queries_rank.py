@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import assemble, evaluate, fuse, vector
 from lodestone.operators.lexical import bm25_search, tokens
 from lodestone.plans.book import Book, table
+from lodestone.scratch import cut, small
 
 BOOK = Book()
 TOP = 10
@@ -212,26 +213,27 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.extractive_answer(queries, hits, "rank", min_sources=2, min_score=0.0162).select("query_id", "grounded", "answer")
 
 
-GOLD_SQL = f"""{BM25_SQL}, gold AS (SELECT b.item_id, list(d.doc_id) AS relevant FROM benchmark b JOIN documents d ON contains(d.text, b.text[1:60]) GROUP BY b.item_id),
+GOLD_SQL = f"""{BM25_SQL}, gold AS (SELECT b.item_id, list(d.doc_id) AS relevant FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id),
 top AS (SELECT rk.*, list_contains(relevant, doc_id) AS rel, len(relevant) AS nrel FROM rk JOIN gold USING (item_id) WHERE rank <= {TOP}),
 per AS (SELECT item_id, nrel, count(*) AS returned, sum(rel::INT) AS hit, min(CASE WHEN rel THEN rank END) AS first, sum(CASE WHEN rel THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM top GROUP BY item_id, nrel),
 cs AS (SELECT item_id, hit / nrel AS recall_at_k, hit / {TOP} AS precision_at_k, coalesce(1.0::DOUBLE / first, 0) AS mrr, dcg / list_sum(list_transform(range(1, (least(nrel, returned) + 1)::BIGINT), lambda i: 1 / log2(i + 1))) AS ndcg_at_k, (hit > 0)::INT::DOUBLE AS hit_at_k, nrel FROM per)"""
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose first 60 characters stand in documents; those documents are relevant."""
+    """Benchmark items whose whole text stands in documents; those documents are relevant."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    probe = items.select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("probe"))
+    probe = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("probe")).withColumn("ts", tokens(F.col("probe")))
     # the words of a probe but its first and last stand whole in any text that holds it: documents are met at three of them, then checked
     key = lambda ts, i: F.xxhash64(F.get(ts, i), F.get(ts, i + 1), F.get(ts, i + 2))
-    starts = docs.select("doc_id", tokens(F.col("text")).alias("ts")).where("size(ts) >= 3").select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("ts") - 3), lambda i: key(F.col("ts"), i)))).alias("h"))
-    probe = probe.withColumn("ts", tokens(F.col("probe")))
-    long = probe.where("size(ts) >= 5").select("case_id", "probe", key(F.col("ts"), F.lit(1)).alias("h"))
-    met = starts.join(long, "h").select("case_id", "probe", "doc_id").join(docs.select("doc_id", "text"), "doc_id").select("case_id", "probe", "doc_id", "text")
+    starts = docs.select("doc_id", tokens(F.col("text")).alias("ts")).where("size(ts) >= 3").select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("ts") - 3), lambda i: key(F.col("ts"), i))).alias("h"))
+    long = cut(probe.where("size(ts) >= 5").select("case_id", key(F.col("ts"), F.lit(1)).alias("h")))
+    met = cut(starts.join(small(long.select("h").distinct()), "h").distinct().join(long, "h").select("case_id", "doc_id"))
+    texts = docs.select("doc_id", "text").join(small(met.select("doc_id").distinct()), "doc_id", "left_semi")
+    met = met.join(items.select(F.col("item_id").alias("case_id"), F.col("text").alias("probe")), "case_id").join(texts, "doc_id").where(F.contains("text", "probe")).select("case_id", "doc_id")
     # probes of fewer words, of which there are few, are held against every document
-    met = met.unionByName(probe.where("size(ts) < 5").select("case_id", "probe").join(docs.select("doc_id", "text"), F.contains("text", "probe")))
-    gold = met.where(F.contains("text", "probe")).groupBy("case_id").agg(F.collect_set("doc_id").alias("relevant"))
-    hits = _hits(spark, sf_dir).select(F.col("query_id").alias("case_id"), "rank", "doc_id").join(gold, "case_id").withColumn("is_rel", F.array_contains("relevant", F.col("doc_id")))
+    short = probe.where("size(ts) < 5").select("case_id", "probe").join(docs.select("doc_id", "text"), F.contains("text", "probe")).select("case_id", "doc_id")
+    gold = cut(met.unionByName(short).groupBy("case_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("relevant")))
+    hits = _hits(spark, sf_dir).select(F.col("query_id").alias("case_id"), "rank", "doc_id").join(gold, "case_id").withColumn("is_rel", evaluate.is_relevant(F.col("relevant"), F.col("doc_id").cast("string")))
     return evaluate.score_cases(gold, hits, TOP)
 
 

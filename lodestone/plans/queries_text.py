@@ -139,13 +139,18 @@ def route_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query(
-    "WITH e AS (SELECT DISTINCT page_id, 'EXPOSES_ENDPOINT' AS edge_type, unnest(regexp_extract_all(html, '" + ingest.ROUTE.replace("'", "''") + "', 1)) AS target FROM pages) "
-    "SELECT page_id, edge_type, target, 0.7::DOUBLE AS confidence, sha256(array_to_string(['default', page_id::VARCHAR, 'main', edge_type, target], chr(31))) AS edge_id FROM e"
+    "WITH e AS (SELECT DISTINCT page_id, url, 'EXPOSES_ENDPOINT' AS edge_type, unnest(regexp_extract_all(html, '" + ingest.ROUTE.replace("'", "''") + "', 1)) AS target FROM pages UNION SELECT page_id, url, 'IMPORTS', split_part(url, '/', 3) FROM pages "
+    "UNION SELECT page_id, url, 'TESTS', 'page' || page_id FROM pages WHERE page_id % 2 = 0 UNION SELECT page_id, url, 'CONFIGURES', url FROM pages WHERE page_id % 3 = 0) "
+    "SELECT page_id, edge_type, target, CASE edge_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in ingest.CONFIDENCE.items()) + " END AS confidence, sha256(array_to_string(['default', page_id::VARCHAR, 'main', url, 'c' || page_id, edge_type, target], chr(31))) AS edge_id FROM e"
 )
 def edge_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = table(spark, sf_dir, "pages").select("page_id", F.explode(ingest.routes(F.array().cast("array<string>"), F.col("html"))).alias("target"))
-    rows = routes.select("page_id", F.lit("EXPOSES_ENDPOINT").alias("edge_type"), "target", F.lit(ingest.CONFIDENCE["EXPOSES_ENDPOINT"]).alias("confidence"))
-    return rows.withColumn("edge_id", I.stable_id("default", F.col("page_id"), "main", F.col("edge_type"), F.col("target")))
+    """Pages as chunks: routes in their code, an import of their host, some of them tests or configuration."""
+    none, n = F.array().cast("array<string>"), F.col("page_id")
+    chunks = table(spark, sf_dir, "pages").select(
+        F.lit("default").alias("tenant_id"), n.alias("gitlab_project_id"), F.lit("main").alias("branch"), F.lit("abc").alias("commit_sha"), F.concat(F.lit("c"), n).alias("chunk_id"), F.lit(None).cast("string").alias("symbol_fqn"), F.lit("g/r").alias("repo_path_with_namespace"), F.col("url").alias("file_path"),
+        F.lit(1).alias("line_start"), F.array(F.split_part("url", F.lit("/"), F.lit(3))).alias("imports"), none.alias("calls"), none.alias("references"), none.alias("decorators"), F.col("html").alias("code"), (n % 2 == 0).alias("is_test"), F.concat(F.lit("page"), n).alias("symbol_name"), (n % 3 == 0).alias("is_config"),
+    )
+    return ingest.edge_rows(chunks).select(F.col("gitlab_project_id").alias("page_id"), "edge_type", F.col("target_symbol_fqn").alias("target"), "confidence", "edge_id")
 
 
 @BOOK.query("SELECT doc_id, len(string_split(rtrim_one, chr(10))) * (text <> '')::INT AS line_count, strlen(text)::BIGINT AS size_bytes FROM (SELECT doc_id, text, regexp_replace(text, '\\n$', '') AS rtrim_one FROM documents)")
@@ -153,10 +158,18 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(split_lines(F.col("text"))).alias("line_count"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 
-@BOOK.query("SELECT source, array_to_string(list_sort(list_distinct(list(lang))), ',') AS languages, count(*) AS files, sum(n_chars)::BIGINT AS chars, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids_sha256 FROM documents GROUP BY source")
+@BOOK.query(
+    "SELECT conv_id, array_to_string(list_sort(list_distinct(list(role))), ',') AS symbols, count(*) AS n_chunks, sum(length(text))::BIGINT AS findings, sha256(string_agg(turn::VARCHAR, ',' ORDER BY turn)) AS chunks_sha256, array_to_string(list_sort(list_distinct(list(text[1:8]))), ',') AS referenced FROM conversations GROUP BY conv_id"
+)
 def file_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"), F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"))
+    """Conversations as files, their turns as chunks."""
+    turns = table(spark, sf_dir, "conversations").select(
+        *(F.lit("x").alias(k) for k in ingest.KEYS if k != "file_path"), F.col("conv_id").cast("string").alias("file_path"), F.col("turn").alias("ordinal"), F.col("turn").cast("string").alias("chunk_id"), F.col("role").alias("symbol_fqn"),
+        F.array(F.substring("text", 1, 8)).alias("references"), F.array().cast("array<string>").alias("imports"), *(F.char_length("text").alias(c) for c in ("secret_findings_count", "secret_redactions_count", "secret_high_confidence_count")),
+    )
+    got = ingest.file_rows(turns.select(*ingest.KEYS, F.lit("").alias("content")).distinct(), turns)
+    joined = lambda c: F.array_join(c, ",")
+    return got.select(F.col("file_path").cast("long").alias("conv_id"), joined("defined_symbols").alias("symbols"), F.size("chunk_ids").cast("long").alias("n_chunks"), F.col("secret_findings_count").alias("findings"), F.sha2(joined("chunk_ids").cast("binary"), 256).alias("chunks_sha256"), joined("referenced_symbols").alias("referenced"))
 
 
 @BOOK.query(

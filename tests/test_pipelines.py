@@ -127,7 +127,7 @@ def test_walk_and_decode(spark, tmp_path):
     (tmp_path / "src" / "deep" / "a.py").write_bytes(b"x\r\ny\xff\rz")
     (tmp_path / "b.txt").write_bytes(b"")
     got = {r.file_path: r for r in S.walk(spark, str(tmp_path)).select("file_path", "size_bytes", S.decode_text(F.col("raw")).alias("t"), S.split_lines(S.decode_text(F.col("raw"))).alias("l")).collect()}
-    assert got["src/deep/a.py"].t == "x\ny\nz" and got["src/deep/a.py"].size_bytes == 7 and set(got) == {"src/deep/a.py"}
+    assert got["src/deep/a.py"].t == "x\ny\nz" and got["src/deep/a.py"].size_bytes == 7 and set(got) == {"src/deep/a.py", "b.txt"} and got["b.txt"].t == ""
     facts = S.file_facts(spark.createDataFrame([("a\x0cb c\n",)], "content string")).first()
     assert facts.line_count == 3
 
