@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +61,27 @@ def extractive_answer(queries: DataFrame, hits: DataFrame, rank: str = "final_ra
 
 def answer_context(context: Column, max_chars: int = MAX_CONTEXT) -> Column:
     return F.substring(context, 1, max_chars)
+
+
+def model_answer(queries: DataFrame, hits: DataFrame, model: Callable[[list[tuple[str, str]]], list[str | None]], rank: str = "final_rank", *, batch: int = 16, **gates) -> DataFrame:
+    """(query_id, answer, grounded) by a model given lists of (query, context), cut to size. Queries that the gates refuse never reach it; where it fails or says nothing, the extractive answer stands.
+
+    queries: query_id, query.
+    """
+    plain = extractive_answer(queries, hits, rank, **gates)
+    asked = queries.select("query_id", "query").join(context(hits, rank), "query_id").join(plain.where("grounded").select("query_id"), "query_id", "left_semi").select("query_id", "query", answer_context(F.col("context")).alias("context"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            said: list[str | None] = []
+            for a in range(0, len(frame), batch):
+                part = frame.iloc[a : a + batch]
+                try:
+                    got = list(model(list(zip(part["query"], part["context"], strict=True))))
+                except Exception:  # a model that can't be reached answers nothing
+                    got = []
+                said += got if len(got) == len(part) else [None] * len(part)
+            yield pd.DataFrame({"query_id": frame["query_id"], "said": said})
+
+    replies = asked.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, said string")
+    return plain.join(replies, "query_id", "left").select("query_id", F.coalesce(F.nullif(F.btrim("said"), F.lit("")), "answer").alias("answer"), "grounded")

@@ -117,6 +117,12 @@ def delete_files(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[st
     return out, counts
 
 
+def read_graph(store: Store, tenant: str, project: str, branch: str) -> tuple[DataFrame, DataFrame]:
+    """All symbols and edges of a project's branch; the scope is a predicate that reaches the scan."""
+    own = (F.col("tenant_id") == tenant) & (F.col("gitlab_project_id") == project) & (F.col("branch") == branch)
+    return tuple(store.read(n).where(own) for n in ("symbols", "edges"))
+
+
 def replace_files(tables: dict[str, DataFrame], new: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """tables with the new files' rows in place of their old ones, and (table, deleted)."""
     left, counts = delete_files(tables, new["files"])

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import graph
+from lodestone.operators.vector import DENSE, hash_embedding
+from lodestone.scratch import cut, scratch
 from lodestone.sources.tables import KEYS, Store, delete_files, prune_orphans, upserted
 
 SCOPE = ["tenant_id", "gitlab_project_id", "branch"]
@@ -39,19 +42,43 @@ def apply_changes(tables: dict[str, DataFrame], planned: DataFrame, new: dict[st
     return {n: upserted(left[n], new[n], KEYS[n]) for n in left}, counts
 
 
-def index_repository(store: Store, files: DataFrame, ingest: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, int]:
-    """A full run: the rows of all files take the place of theirs, orphaned edges go. A file that is not to be indexed any more loses its rows; paths that are no longer there keep theirs. Returns rows by table."""
-    new = ingest(files)
-    have = {n: store.read(n) for n in new}
-    if all(v is not None for v in have.values()):
-        left, _ = delete_files(have, files)
-        new = {n: upserted(left[n], new[n], KEYS[n]) for n in new}
-    out = {n: store.publish(n, new[n]) for n in ("files", "chunks", "symbols")}
-    out["edges"] = store.publish("edges", prune_orphans(new["edges"], out["chunks"]))
-    return {n: df.count() for n, df in out.items()}
+def index_repository(store: Store, files: DataFrame, ingest: Callable[..., dict[str, DataFrame]], *, communities: bool = False) -> dict[str, int]:
+    """A full run, each file parsed once: the rows of all files take the place of theirs, orphaned edges go. A file that is not to be indexed any more loses its rows; paths that are no longer there keep theirs. Returns rows by table.
 
-
-def index_stream(files: DataFrame, store: Store, ingest: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str):
+    With communities, those of the files' projects are detected anew; that this fails never fails the run.
+    """
+    with scratch(store.spark):
+        new = {n: cut(df) for n, df in ingest(files, settle=cut).items()}
+        have = {n: store.read(n) for n in new}
+        if all(v is not None for v in have.values()):
+            left, _ = delete_files(have, files)
+            new = {n: upserted(left[n], new[n], KEYS[n]) for n in new}
+        out = {n: store.publish(n, new[n]) for n in ("files", "chunks", "symbols")}
+        out["edges"] = store.publish("edges", prune_orphans(new["edges"], out["chunks"]))
+        counts = {n: df.count() for n, df in out.items()}
+    if communities:
+        done = guarded(lambda: {"communities": rebuild_communities(store, files)})
+        counts["communities"] = done.get("communities", 0)
+    return counts
+
+
+def rebuild_communities(store: Store, scopes: DataFrame | None = None, *, min_size: int = graph.MIN_SIZE, embed: Callable[[Column], Column] | None = None) -> int:
+    """Detects and embeds the communities of scopes (SCOPE columns; all that have symbols, if none are given) in the place of their former ones. Returns how many there are in all.
+
+    embed makes a vector of a summary: the hash embedding unless another is given.
+    """
+    symbols, edges = store.read("symbols"), store.read("edges")
+    scopes = (symbols if scopes is None else scopes).select(*SCOPE).distinct()
+    symbols, edges = (df.join(scopes, SCOPE, "left_semi") for df in (symbols, edges))
+    summary = F.col("summary")
+    rows = graph.community_rows(symbols, edges, min_size=min_size).withColumn("embedding_dense", embed(summary) if embed else hash_embedding(DENSE)(summary))
+    have = store.read("communities")
+    if have is not None:
+        rows = have.join(scopes, SCOPE, "left_anti").unionByName(rows, allowMissingColumns=True)
+    return store.publish("communities", rows).count()
+
+
+def index_stream(files: DataFrame, store: Store, ingest: Callable[..., dict[str, DataFrame]], checkpoint: str):
     """A stream of file versions, indexed micro-batch by micro-batch. A batch that is tried again writes the same rows."""
 
     def step(batch: DataFrame, _: int) -> None:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.identity import stable_id
+from lodestone.sources.tables import Store
+from lodestone.streaming.incremental import guarded
 
 CANDIDATES = 10
 
@@ -79,3 +85,34 @@ def unfinished(jobs: DataFrame, results: DataFrame) -> DataFrame:
 def dedupe_stream(jobs: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
     """A stream of submissions, each job once within the delay."""
     return jobs.withWatermark(time, delay).dropDuplicatesWithinWatermark(["job_id"])
+
+
+def work(store: Store, worker: str, runners: dict[str, Callable[[dict], dict]], *, lease_seconds: int = 900, wait: float = 0.5, polls: int | None = None) -> int:
+    """A worker's loop: claims a job, runs what its type asks for, ends it; waits where there is none. Returns how many it ran.
+
+    runners: by job type, given the job's row as a dictionary. An incremental job whose payload names no
+    changes but asks for a fallback is run as a full one. polls bounds the turns of the loop; None: for ever.
+    """
+    ran = turn = 0
+    while polls is None or turn < polls:
+        turn += 1
+        status = store.read("job_status")
+        job = None
+        if status is not None:
+            mine, after = claim(status, worker, F.current_timestamp(), lease_seconds)
+            job = mine.first()
+        if job is None:
+            time.sleep(wait)
+            continue
+        after = store.publish("job_status", after)
+        row = job.asDict(recursive=True)
+        payload = json.loads(row.get("payload") or "{}")
+        kind = row["job_type"]
+        if kind == "incremental" and not payload.get("changes") and payload.get("full_if_empty"):
+            kind = "full"
+        done = guarded(lambda kind=kind, row=row, payload=payload: runners[kind](row | {"payload": payload}))
+        result = store.spark.createDataFrame([(row["job_id"], done["status"], done["error_message"])], "job_id string, status string, error_message string")
+        store.publish("job_status", finish(after, result, F.current_timestamp()))
+        store.upsert("job_results", result)
+        ran += 1
+    return ran
