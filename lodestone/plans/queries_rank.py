@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import assemble, evaluate, fuse, vector
 from lodestone.operators.lexical import bm25_search, tokens
 from lodestone.plans.book import Book, table
-from lodestone.scratch import cut, small
+from lodestone.scratch import cut, scratch, small
 
 BOOK = Book()
 TOP = 10
@@ -237,6 +237,24 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.score_cases(gold, hits, TOP)
 
 
+@BOOK.query()
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: documents ingested as files of their sources, every benchmark item a query of a user who may read two sources."""
+    from lodestone.plans import ingest, search
+    from lodestone.plans.queries_text import as_files
+
+    with scratch(spark) as keep:
+        made = ingest.ingest(as_files(table(spark, sf_dir, "documents")), settle=cut)
+        tables = {n: cut(made[n]) for n in ("symbols", "edges")} | {"chunks": made["chunks"]}
+        tables["chunk_vec"] = cut(made["chunks"].select("chunk_id", vector.hash_embedding(vector.DENSE)(F.col("text")).alias("dense")))
+        items = table(spark, sf_dir, "benchmark")
+        user = F.concat(F.lit("u"), F.col("item_id") % 20)
+        queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("default").alias("tenant_id"), F.lit("main").alias("branch"), user.alias("user_id"), F.lit(None).cast("array<string>").alias("project_ids"))
+        perms = spark.range(20).select(F.lit("default").alias("tenant_id"), F.concat(F.lit("u"), "id").alias("user_id"), F.array(F.concat(F.lit("src"), "id"), F.concat(F.lit("src"), (F.col("id") + 1) % 20)).alias("accessible_project_ids"))
+        hits = search.search(queries, tables, permissions=perms)
+        return keep(hits.select("query_id", "final_rank", "chunk_id", "file_path", "line_start", "line_end", F.round("score", 6).alias("score")))
+
+
 @BOOK.query(f"WITH {GOLD_SQL} SELECT item_id AS case_id, round(recall_at_k, 6) AS recall_at_k, round(precision_at_k, 6) AS precision_at_k, round(mrr, 6) AS mrr, round(ndcg_at_k, 6) AS ndcg_at_k, hit_at_k, nrel::INT AS num_relevant FROM cs")
 def eval_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cases(spark, sf_dir)
