@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import chat, langid, quality
 from lodestone.llm.decontaminate import find_contamination
 from lodestone.llm.linededup import LineRuns, drop_frequent_lines
+from lodestone.llm.ngramjoin import ngram_join
 from lodestone.llm.mixing import copies_of, mix_plan, mix_sources, source_targets
 from lodestone.llm.tokens import read_tokens, write_tokens
 from lodestone.llm.wordhash import ALNUM, NOT_SPACE, hash_words, string_buffers
@@ -304,3 +305,116 @@ def test_sparse_sites_shrink_toward_the_global_prior(spark):
     sites, m, top, low = quality.posteriors(found)
     host = {r.host: (r.hs + top * m) / (r.hn + top) for r in sites.collect()}
     assert host["bad"] < 0.1 and host["big"] > 0.9 and host["bad"] < host["one"] < m and top >= 1 and low >= 1
+
+
+def plain_counts(text):
+    """Buckets of all 1- to 4-grams of the letters, in Python integers."""
+    low = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split()) + " "
+    mask, out = (1 << 64) - 1, np.zeros(langid.BUCKETS, int)
+    for n in langid.ORDERS:
+        for i in range(len(low) - n + 1):
+            h = 0
+            for c in low[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + (ord(c) + 1) * 0xC2B2AE3D27D4EB4F) & mask
+            out[((h ^ (h >> 29)) * (0xBF58476D1CE4E5B9 + 2 * n) & mask) >> 49] += 1
+    return out
+
+
+def test_counts_and_predictions_are_the_plain_ones():
+    rng = np.random.default_rng(2)
+    texts = ["Hello, world!", "a", "été À ß", "one  two\nthree", "x1y2"]
+    weights = rng.standard_normal((langid.BUCKETS, 3))
+    model = langid.Model(["a", "b", "c"], rng.uniform(1, 3, langid.BUCKETS), weights, np.array([0.1, 0.0, -0.1]), 1.7)
+    for t in texts:
+        c = plain_counts(t)
+        assert (langid.counts(t) == c).all()
+        x = np.array([(1 + np.log(v)) * model.idf[i] if v else 0.0 for i, v in enumerate(c)])
+        z = (x / np.linalg.norm(x) @ weights + model.bias) / 1.7
+        p = np.exp(z) / np.exp(z).sum()
+        lang, score = model.predict(t)
+        assert lang == model.langs[int(p.argmax())] and score == pytest.approx(p.max())
+    assert model.predict("12 .") == model.predict(None) == ("und", 0.0)
+
+
+def test_ftrl_is_the_plain_one():
+    """Against follow-the-regularised-leader written out a coordinate at a time."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(60):
+        y = int(rng.integers(3))
+        at = np.sort(rng.choice(12, 4, replace=False)) + 12 * y * int(rng.random() < 0.8)
+        rows.append((at, rng.uniform(0.2, 1, 4), y))
+    z, n = {}, {}
+
+    def weight(i, k):
+        zi, ni = z.get((i, k), 0.0), n.get((i, k), 0.0)
+        return 0.0 if abs(zi) <= langid.L1 else -(zi - np.sign(zi) * langid.L1) / ((langid.BETA + ni**0.5) / langid.ALPHA + langid.L2)
+
+    for _ in range(2):
+        for at, x, y in rows:
+            feats = [*zip(at.tolist(), x.tolist(), strict=True), (langid.BUCKETS, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in feats for k in range(3)}
+            s = np.array([sum(v * w[i, k] for i, v in feats) for k in range(3)])
+            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            for i, v in feats:
+                for k in range(3):
+                    g = v * (p[k] - (k == y))
+                    old = n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / langid.ALPHA * w[i, k]
+                    n[i, k] = old + g * g
+    got, bias = langid.fit(rows, 3, epochs=2)
+    assert np.allclose(bias, [weight(langid.BUCKETS, k) for k in range(3)])
+    for i in range(48):
+        assert np.allclose(got[i], [weight(i, k) for k in range(3)])
+    assert (got == 0).sum() > got.size - 200
+
+
+def test_posteriors_are_the_plain_ones(docs):
+    """Site posteriors and scores, worked out again from the documents' own evidence."""
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choices(["the", "and", "word", "green", "house", "river"], k=40)) + "."
+    bad = lambda: "".join(rng.choices("$#@%!*", k=60)) + " " + "!" * 20
+    n = 120
+    texts = [good() if rng.random() < (0.9 if i % 4 else 0.2) else bad() for i in range(n)]
+    frame = docs(texts, source=[None if i % 11 == 0 else f"h{i % 4}" for i in range(n)], lang=[f"p{i % 3}" for i in range(n)])
+    labels = frame.select("doc_id", F.when(F.contains("text", F.lit("$")), 0).otherwise(1).alias("quality")).where("doc_id % 2 = 0")
+    rows = quality.classify(frame, labels, host=F.col("source"), path=F.concat_ws("/", "source", "lang")).collect()
+    assert len(rows) == n
+    total, mean = len(rows), sum(r.p_text for r in rows) / len(rows)
+    hosts, paths = {}, {}
+    for r in rows:
+        for group, key in ((hosts, r.host), (paths, (r.host, r.path))):
+            a, b = group.get(key, (0, 0.0))
+            group[key] = (a + 1, b + r.p_text)
+    strength = lambda spread, chance: min(max(mean * (1 - mean) / max(spread - chance, 1e-6) - 1, 1.0), 1e6)
+    top = strength(sum(k * (s / k - mean) ** 2 for k, s in hosts.values()) / total, len(hosts) * mean * (1 - mean) / total)
+    prior = {h: (s + top * mean) / (k + top) for h, (k, s) in hosts.items()}
+    low = strength(sum(k * (s / k - prior[h]) ** 2 for (h, _), (k, s) in paths.items()) / total, len(paths) * mean * (1 - mean) / total)
+    logit = lambda x: np.log(x / (1 - x))
+    for r in rows:
+        (hn, hs), (pn, ps) = hosts[r.host], paths[r.host, r.path]
+        host = (hs - r.p_text + top * mean) / (hn - 1 + top)
+        site = min(max((ps - r.p_text + low * host) / (pn - 1 + low), 1e-9), 1 - 1e-9)
+        p = min(max(r.p_text, 1e-9), 1 - 1e-9)
+        score = 1 / (1 + np.exp(-(logit(p) + logit(site) - logit(mean))))
+        assert r.p_site == pytest.approx(site, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9) and r.keep == (score >= 0.5)
+
+
+def test_very_long_texts(spark, docs):
+    """Some hundred thousand words: read to the end by every operator."""
+    n = 150_000
+    words = [f"w{i * 7919 % 50_021}" for i in range(n)]
+    long_text, item = " ".join(words), " ".join(f"item{i}" for i in range(20))
+    texts = [long_text + " " + item, long_text + " " + item + " tail", "short text", None]
+    frame = docs(texts)
+    found, links = ngram_join(frame, k=4, num=85, den=100)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 3} and links.count() == 1
+    sizes = {r.doc_id: r["size"] for r in mix_sources(frame).collect()}
+    assert sizes == {0: n + 20, 1: n + 21, 2: 2, 3: 0}
+    hit = {r.doc_id: r.contamination.n_hit for r in find_contamination(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert hit == {0: 20, 1: 20, 2: 0, 3: 0}
+    x = quality.features(*string_buffers(pa.array(texts)))
+    assert x[0][0] == pytest.approx(np.log1p(n + 20)) and x[0][7] == pytest.approx((50_021 + 20) / (n + 20))
+    talk = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long_text)], "conv_id long, turn long, role string, text string")
+    digest = chat.digest(chat.expand(talk)).first()
+    assert digest.loss_chars == len(long_text) and digest.loss_sha256 == hashlib.sha256(long_text.encode()).hexdigest()
