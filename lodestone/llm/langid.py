@@ -120,7 +120,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: in
 
     for _ in range(epochs):
         for at, x, y in rows:
-            at, x = np.append(at, BUCKETS), np.append(x, 1.0)
+            at, x = np.append(at.astype(np.int64), BUCKETS), np.append(x.astype(np.float64), 1.0)
             w = weights(z[at], n[at])
             p = softmax(x @ w)
             p[y] -= 1.0
@@ -205,7 +205,7 @@ def train(docs: DataFrame, *, lang: str = "lang", text: str = "text", doc_id: st
             rows = found.where(thin).collect()  # about max_rows and max_bytes at most
     langs = sorted({r.lang for r in rows})
     rows = sorted(rows, key=lambda r: (r.key, r.lang, bytes(r.at)))
-    data = [(np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.x, np.float32).astype(np.float64), langs.index(r.lang)) for r in rows]
+    data = [(np.frombuffer(r.at, np.uint16), np.frombuffer(r.x, np.float32), langs.index(r.lang)) for r in rows]  # views: widened a document at a time
     rng = np.random.default_rng(5)
     data = [data[i] for i in rng.permutation(len(data))]
     held = max(0, len(data) // 5)
