@@ -35,14 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import open_fs, shuffle_width, worker_runs
+from lodestone.llm.common import arrow_rows, open_fs, shuffle_width, worker_runs
 from lodestone.llm.wordhash import blocks, gather, hash_strings, string_buffers
 
-#: Texts' words whose ids a worker remembers: some 80 MB. Past this the older ones are forgotten; ids don't depend on it.
-CACHE_WORDS = 2_000_000
+#: Texts' words whose ids a worker remembers: some 60 MB. Past this the older ones are forgotten; ids don't depend on it.
+CACHE_WORDS = 1_500_000
 #: Bytes of text encoded at once, and ids read at once, where documents are not longer.
-TEXT_BYTES = 4 << 20
-READ_IDS = 1 << 21
+TEXT_BYTES = 2 << 20
+READ_IDS = 1 << 20
+#: Documents in an Arrow batch.
+TEXT_ROWS = 1000
 
 #: Parts of a tokenizer's rules that treat what a space parts as apart.
 _NORMALIZERS = frozenset(["NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"])
@@ -221,7 +223,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
         n = int(sum(map(len, ids)))
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "docs": [n], "tokens": [total], "width": [enc.width]})
 
-    done = sorted(rows.mapInArrow(write, "part long, docs long, tokens long, width long").collect())  # one row a part
+    with arrow_rows(spark, TEXT_ROWS):
+        done = sorted(rows.mapInArrow(write, "part long, docs long, tokens long, width long").collect())  # one row a part
     manifest: dict = {"width": done[0].width if done else 2, "end_id": end_id, "parts": []}
     base = before = 0
     for r in done:
