@@ -80,6 +80,17 @@ def permit(rows: DataFrame, granted: DataFrame, row_id: str, *, project: str = "
     def only(scored: DataFrame) -> DataFrame:
         return scored.join(own, "doc_id").join(grants_, ["query_id", *(f"__{k}" for k in keys)], "left_semi").select(*scored.columns)
 
+    return scoped(only, [F.col(c) for c in keys.values()], grants_.select("query_id", *(F.col(f"__{k}").alias(k) for k in keys)), active)
+
+
+def scoped(only: Callable[[DataFrame], DataFrame], of_row: list[Column], granted: DataFrame, active: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """only, with what it reads by: its scope, a list with a row's scope of the columns named, empty where one is null; and granted (query_id, scope)."""
+    as_text = lambda cs: F.to_json(F.struct(*(c.cast("string").alias(f"k{i}") for i, c in enumerate(cs))))
+    whole = F.lit(True) if active is None else F.coalesce(F.col(active), F.lit(False))
+    for c in of_row:
+        whole = whole & c.isNotNull()
+    only.scope = F.when(whole, F.array(as_text(of_row)))
+    only.granted = granted.select("query_id", as_text([F.col(c) for c in granted.columns if c != "query_id"]).alias("scope"))
     return only
 
 

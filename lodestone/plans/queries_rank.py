@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import assemble, evaluate, fuse, vector
-from lodestone.operators.lexical import bm25_search, tokens
+from lodestone.operators.lexical import Allowed, bm25_search, tokens
 from lodestone.plans.book import Book, table
 from lodestone.scratch import cut, scratch, small
 
@@ -22,7 +22,7 @@ sc AS (SELECT q.item_id, tf.doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)"""
 
 
-def _hits(spark: SparkSession, sf_dir: str, n: int = TOP, allowed: DataFrame | None = None) -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str, n: int = TOP, allowed: Allowed = None) -> DataFrame:
     return bm25_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), doc_id="doc_id", query_id="item_id", query="text", boosts={"text": 3.0}, n=n, allowed=allowed)
 
 
@@ -38,8 +38,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of all documents; a query sees two sources only."""
     n = F.substring("source", 4, 10).cast("int")
-    granted = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(n % 20, (n + 1) % 20)).alias("g")).distinct()
-    allowed = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20).cast("int").alias("g")).join(granted, "g").select("query_id", "doc_id")
+    scope = F.array(n % 20, (n + 1) % 20)
+    granted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20).cast("int").alias("scope"))
+
+    def allowed(scored: DataFrame) -> DataFrame:
+        own = table(spark, sf_dir, "documents").select("doc_id", F.explode(scope).alias("scope")).distinct()
+        return scored.join(granted.join(own, "scope").select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+
+    allowed.scope, allowed.granted = scope, granted
     return _hits(spark, sf_dir, allowed=allowed).select(F.col("query_id").alias("item_id"), "doc_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
