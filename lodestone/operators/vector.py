@@ -12,12 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.operators.access import scope_keys
-from lodestone.operators.lexical import top_n
+from lodestone.operators.lexical import DIGITS, Best, names, top_n
+from lodestone.scratch import cut
 
 DENSE, LATE, LATE_TOKENS, LATE_QUERY = 384, 128, 128, 32
-QUERY_BLOCK = 2048
+#: Queries of a block, at most, and where rows are filtered by pairs; bytes of their vectors.
+QUERY_BLOCK, FILTERED_BLOCK, BLOCK_BYTES = 32768, 2048, 32 << 20
+#: Vectors and queries that are multiplied at once, and pairs scored in double precision at once.
+VECTOR_ROWS, TILE, PAIRS = 8192, 256, 1 << 16
 _HASH_TOKEN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+")
 
 
@@ -151,8 +156,9 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def knn(vectors: DataFrame, queries: DataFrame, n: int, *, vec_id: str, vec: str, query_id: str, query_vec: str, block: int = QUERY_BLOCK, allowed: DataFrame | None = None, granted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the n nearest by cosine, exact.
 
-    Queries go out in blocks of a fixed number; each task multiplies its vectors with a block and keeps
-    its n best a query, so what is shuffled is n rows a query and task. Filters on vectors apply before, and
+    Queries go out in blocks of a bounded size; vectors are dealt over all cores, and each task multiplies its own with a block in
+    single precision, takes up what comes near enough to its n best of a query, and scores that in double precision. What is
+    shuffled is n rows a query and task. Filters on vectors apply before, and
     so do allowed, (query_id, doc_id) pairs that may be returned, and granted, rows of (query_id, tenant_id,
     branch, project_id): a scope's readers go to its vectors, in one row a scope.
     """
@@ -164,43 +170,85 @@ def knn(vectors: DataFrame, queries: DataFrame, n: int, *, vec_id: str, vec: str
         own = own.join(granted.groupBy(*keys).agg(F.collect_set("query_id").alias("readers")), list(keys)).select("i", "v", "readers")
     elif filtered:
         own = own.join(allowed.groupBy(F.col("doc_id").alias("i")).agg(F.collect_set("query_id").alias("readers")), "i")
-    kind, qkind = dict(own.dtypes)["i"], dict(queries.select(query_id).dtypes)[query_id]
-    out = None
-    held: list = []
+    if filtered:
+        block = min(block, FILTERED_BLOCK)
+    own = cut(own.repartition(max(2, spark.sparkContext.defaultParallelism)))
+    kinds = [queries.schema[query_id].dataType, own.schema["i"].dataType]
+    of_query, of_doc = (to_arrow_type(k) for k in kinds)
+    schema = f"query_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double"
 
-    def scan(rows: list) -> DataFrame:
-        ids, matrix = [r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64))
-        sent = spark.sparkContext.broadcast((ids, matrix))
+    def scan(ids: list, matrix: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, _unit(matrix)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            place = {x: q for q, x in enumerate(ids)}
-            best: list = [([], [])] * len(ids)
-            for batch in batches:
-                names = np.array(batch.column(0).to_pylist(), dtype=object)
-                sims = matrix @ _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)).T
-                may = np.full(sims.shape, not filtered)
-                if filtered:
-                    for j, readers in enumerate(batch.column(2).to_pylist()):
-                        may[[place[x] for x in readers if x in place], j] = True
-                for q in range(len(ids)):
-                    s = np.round(np.concatenate((best[q][1], sims[q][may[q]])), 12)
-                    d = np.concatenate((best[q][0], names[may[q]]))
-                    keep = np.lexsort((d, -s))[:n]
-                    best[q] = (d[keep], s[keep])
-            got = [(ids[q], d, s) for q in range(len(ids)) for d, s in zip(*best[q], strict=True)]
-            yield pa.RecordBatch.from_pydict({"query_id": [g[0] for g in got], "doc_id": [g[1] for g in got], "score": pa.array([float(g[2]) for g in got], pa.float64())}) if got else pa.RecordBatch.from_pydict({"query_id": [], "doc_id": [], "score": []})
-
-        return own.mapInArrow(run, f"query_id {qkind}, doc_id {kind}, score double")
-
-    for row in queries.select(query_id, F.col(query_vec).cast("array<double>").alias("v")).where("v is not null and size(v) > 0").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out, held = (scan(held) if out is None else out.unionByName(scan(held))), []
-    if held:
-        out = scan(held) if out is None else out.unionByName(scan(held))
-    if out is None:
-        return spark.createDataFrame([], f"query_id {qkind}, doc_id {kind}, score double, rank int")
+            ids, exact = sent.value
+            rough, place = exact.astype(np.float32), {x: q for q, x in enumerate(ids)}
+            slack = (exact.shape[1] + 8) * 2.0**-22 + 2 * 10.0**-DIGITS  # of single precision
+            tiles = [(a, min(a + TILE, len(ids))) for a in range(0, len(ids), TILE)]
+            best = [Best(b - a, n) for a, b in tiles]
+            for whole in batches:
+                for batch in (whole.slice(x, VECTOR_ROWS) for x in range(0, whole.num_rows, VECTOR_ROWS)):
+                    docs = names(batch.column(0))
+                    unit = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(docs), -1))
+                    may = None
+                    if filtered:
+                        may = np.zeros((len(ids), len(docs)), dtype=bool)
+                        for j, readers in enumerate(batch.column(2).to_pylist()):
+                            may[[place[x] for x in readers if x in place], j] = True
+                    else:  # of equal vectors only the n with the smallest ids can be among the best
+                        _, same = np.unique(np.ascontiguousarray(unit).view(f"V{unit.shape[1] * 8}").ravel(), return_inverse=True)
+                        order = np.lexsort((docs if docs.dtype != object else np.array(["" if x is None else x for x in docs], dtype=object), same))
+                        first = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+                        kept = np.sort(order[np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)])) < n])
+                        docs, unit = docs[kept], unit[kept]
+                    near = np.ascontiguousarray(unit.astype(np.float32).T)
+                    for (a, b), top in zip(tiles, best, strict=True):
+                        sims = rough[a:b] @ near
+                        if may is not None:
+                            sims[~may[a:b]] = -np.inf
+                        floor = top.floor - slack
+                        new = np.isneginf(floor)
+                        if new.any() and n < sims.shape[1]:
+                            floor[new] = np.partition(sims[new], -n, axis=1)[:, -n] - slack
+                        # a comparison turned round lets NaN through
+                        at = np.flatnonzero(~(sims < floor.astype(np.float32)[:, None]))
+                        for part in np.array_split(at, max(1, -(-len(at) // PAIRS))):
+                            q, j = np.divmod(part, sims.shape[1])
+                            if may is not None:
+                                held = may[a + q, j]
+                                q, j = q[held], j[held]
+                            top.add(q, docs[j], np.round(np.einsum("ij,ij->i", exact[a + q], unit[j]), 12))
+            for (a, _), top in zip(tiles, best, strict=True):
+                if len(top.q):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[a + q] for q in top.q], of_query), pa.array(top.ids.tolist(), of_doc), pa.array(top.s, pa.float64())], names=["query_id", "doc_id", "score"])
+
+        return own.mapInArrow(run, schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                offsets = pa.array([0, batch.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, batch.column(0)), pa.array([batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()], pa.binary())], names=["ids", "m"])
+
+    asked = queries.select(F.col(query_id).alias("i"), F.col(query_vec).cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
+    scans, ids, parts = [], [], []
+    for row in asked.mapInArrow(pack, f"ids array<{kinds[0].simpleString()}>, m binary").toLocalIterator():
+        m = np.frombuffer(row.m).reshape(len(row.ids), -1)
+        most = max(1, min(block, BLOCK_BYTES // (8 * m.shape[1])))
+        at = 0
+        while at < len(m):
+            take = min(most - len(ids), len(m) - at)
+            ids, parts, at = ids + row.ids[at : at + take], [*parts, m[at : at + take]], at + take
+            if len(ids) >= most:
+                scans.append(scan(ids, np.concatenate(parts)))
+                ids, parts = [], []
+    if ids:
+        scans.append(scan(ids, np.concatenate(parts)))
+    if not scans:
+        return spark.createDataFrame([], f"{schema}, rank int")
+    out = scans[0]
+    for more in scans[1:]:
+        out = out.unionByName(more)
     return top_n(out, n)
 
 
