@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import assemble, evaluate, fuse, vector
-from lodestone.operators.lexical import Allowed, bm25_search, tokens
+from lodestone.operators.lexical import Allowed, bm25_search
 from lodestone.plans.book import Book, table
 from lodestone.scratch import cut, scratch, small
 
@@ -228,19 +228,11 @@ cs AS (SELECT item_id, hit / nrel AS recall_at_k, hit / {TOP} AS precision_at_k,
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items whose whole text stands in documents; those documents are relevant."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    probe = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("probe")).withColumn("ts", tokens(F.col("probe")))
-    # the words of a probe but its first and last stand whole in any text that holds it: documents are met at three of them, then checked
-    key = lambda ts, i: F.xxhash64(F.get(ts, i), F.get(ts, i + 1), F.get(ts, i + 2))
-    starts = docs.select("doc_id", tokens(F.col("text")).alias("ts")).where("size(ts) >= 3").select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("ts") - 3), lambda i: key(F.col("ts"), i))).alias("h"))
-    long = cut(probe.where("size(ts) >= 5").select("case_id", key(F.col("ts"), F.lit(1)).alias("h")))
-    met = cut(starts.join(small(long.select("h").distinct()), "h").distinct().join(long, "h").select("case_id", "doc_id"))
-    texts = docs.select("doc_id", "text").join(small(met.select("doc_id").distinct()), "doc_id", "left_semi")
-    met = met.join(items.select(F.col("item_id").alias("case_id"), F.col("text").alias("probe")), "case_id").join(texts, "doc_id").where(F.contains("text", "probe")).select("case_id", "doc_id")
-    # probes of fewer words, of which there are few, are held against every document
-    short = probe.where("size(ts) < 5").select("case_id", "probe").join(docs.select("doc_id", "text"), F.contains("text", "probe")).select("case_id", "doc_id")
-    gold = cut(met.unionByName(short).groupBy("case_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("relevant")))
-    hits = _hits(spark, sf_dir).select(F.col("query_id").alias("case_id"), "rank", "doc_id").join(gold, "case_id").withColumn("is_rel", evaluate.is_relevant(F.col("relevant"), F.col("doc_id").cast("string")))
-    return evaluate.score_cases(gold, hits, TOP)
+    gold = cut(evaluate.holders(docs, items, doc_id="doc_id", case_id="item_id").distinct())
+    hits = _hits(spark, sf_dir).select(F.col("query_id").alias("case_id"), "rank", "doc_id")
+    found = gold.join(small(hits.select("case_id", "doc_id")), ["case_id", "doc_id"], "left_semi").withColumn("is_rel", F.lit(True))
+    hits = hits.join(small(cut(found)), ["case_id", "doc_id"], "left").withColumn("is_rel", F.coalesce("is_rel", F.lit(False)))
+    return evaluate.score_cases(gold.groupBy("case_id").agg(F.count("doc_id").cast("int").alias("num_relevant")), hits, TOP)
 
 
 @BOOK.query()

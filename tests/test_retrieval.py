@@ -299,3 +299,37 @@ def test_nearest_among_copies_and_zeros(spark, monkeypatch, block):
     for q in range(20):
         want = np.lexsort((np.arange(400), -np.round(unit @ unit[q], 9)))[:9]
         assert [r.doc_id for r in sorted((r for r in got if r.query_id == f"v{q:03}"), key=lambda r: r["rank"])] == [f"v{i:03}" for i in want]
+
+
+def _joins_over(plan, names: set[str]) -> bool:
+    """Whether a join of a logical plan takes up a column so named."""
+    below = plan.children()
+    below = [below.apply(i) for i in range(below.size())]
+    columns = {x.output().apply(i).name() for x in below for i in range(x.output().size())}
+    return plan.nodeName() == "Join" and bool(columns & names) or any(_joins_over(x, names) for x in below)
+
+
+def test_evaluation_joins_no_texts(spark, data, monkeypatch):
+    """However many documents hold a case, their texts are checked where they lie and no list of them is made."""
+    plans, cut = [], queries_rank.cut
+
+    def seen(df, by=None):
+        plans.append(df._jdf.queryExecution().optimizedPlan())
+        return cut(df, by)
+
+    monkeypatch.setattr(queries_rank, "cut", seen)
+    monkeypatch.setattr(evaluate, "cut", seen, raising=False)
+    assert queries_rank.eval_per_case(spark, data).count()
+    assert plans and not any(_joins_over(p, {"text", "probe", "relevant"}) or "collect_set" in p.toString() for p in plans)
+
+
+def test_holders(spark):
+    texts = {1: "one two three four five six", 2: "ZERO one two three four five sixty", 3: "one two three four five", 4: "", 5: None, 6: "a.b", 7: "One two three four five six", 8: "x\none two three four  five six one two three four five six", 9: "été one two"}
+    probes = {1: "one two three four five six", 2: "two three", 3: "", 4: None, 5: "a.b", 6: "ne two three four five", 7: "été", 8: "one two three four five"}
+    docs = spark.createDataFrame([*texts.items(), (None, texts[1])], "doc_id long, text string")
+    cases = spark.createDataFrame(list(probes.items()), "item_id long, text string")
+    want = {(c, d) for c, p in probes.items() for d, t in [*texts.items(), (None, texts[1])] if p is not None and t is not None and p in t}
+    for most in (1, 8 << 20):
+        got = evaluate.holders(docs, cases, doc_id="doc_id", case_id="item_id", most=most).collect()
+        assert {(r.case_id, r.doc_id) for r in got} == want and len(got) == len(want)
+    assert evaluate.holders(docs, cases.limit(0), doc_id="doc_id", case_id="item_id").count() == 0
