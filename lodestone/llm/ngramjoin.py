@@ -55,7 +55,8 @@ ENTRY_COST = 3.0
 #: Entries of a list that are paired as they stream by.
 LIGHT = 16
 BOUNDARIES = (0, 6, 8, 10, 13, 16, 20, 26, 34, 44, 56, 72, 96, 128)
-TEXT_ROWS = 2000
+#: Texts in an Arrow batch.
+TEXT_ROWS = 500
 #: Pairs of sets in an Arrow batch.
 SET_ROWS = 16
 _FLIP = 0x5555555555555555
@@ -73,6 +74,15 @@ def _bins(n: int) -> int:
     return out
 
 
+def thrice(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values that the arrays hold three times or more, sorted, and how often. held is emptied, so that no more than two copies are in memory."""
+    value = np.concatenate(held)
+    held.clear()
+    value.sort()
+    often = np.unique(value[2:][value[2:] == value[:-2]])
+    return often, np.searchsorted(value, often, side="right") - np.searchsorted(value, often)
+
+
 def heavy_shingles(texts: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (sorted) and in how many documents they were met. Shingles that no part of the input holds three times are left out."""
 
@@ -81,9 +91,8 @@ def heavy_shingles(texts: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndar
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            value, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= 3
-            return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["h", "df"])
+            value, times = thrice(held)
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], names=["h", "df"])
 
         for batch in batches:
             for s in shingle_sets(*string_buffers(batch.column(0)), k):
@@ -91,7 +100,7 @@ def heavy_shingles(texts: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndar
                 n += len(s)
                 if n > 2_000_000:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield flush()
 

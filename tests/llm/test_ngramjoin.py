@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from lodestone.llm import ngramjoin
 from lodestone.llm.components import components
 from lodestone.llm.ngramjoin import all_links, ngram_join
 from lodestone.llm.wordhash import NOT_SPACE, hash_words, string_buffers
@@ -143,3 +145,16 @@ def test_components(spark):
         assert got == {r.id: r.component for r in components(table, one_task=few).collect()}
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {k: v for k, v in label.items() if k not in alone}
+
+
+def test_counting_shingles_holds_two_copies():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 300_000, 1000, dtype=np.uint64) for _ in range(500)]
+    value, times = np.unique(np.concatenate(parts), return_counts=True)
+    tracemalloc.start()
+    got = ngramjoin.thrice(held := list(parts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and np.array_equal(got[0], value[times >= 3]) and np.array_equal(got[1], times[times >= 3])
+    assert peak < 2.5 * sum(x.nbytes for x in parts)
+    assert [len(x) for x in ngramjoin.thrice([np.array([1, 1], np.uint64)])] == [0, 0]
