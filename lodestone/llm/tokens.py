@@ -19,6 +19,8 @@ when read, must fit a worker.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import re
@@ -38,13 +40,14 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import arrow_rows, open_fs, shuffle_width, worker_runs
 from lodestone.llm.wordhash import blocks, gather, hash_strings, string_buffers
 
-#: Texts' words whose ids a worker remembers: some 60 MB. Past this the older ones are forgotten; ids don't depend on it.
-CACHE_WORDS = 1_500_000
-#: Bytes of text encoded at once, and ids read at once, where documents are not longer.
-TEXT_BYTES = 2 << 20
+#: Texts' words whose ids a worker remembers: some 20 MB. Past this those not met again are forgotten; ids don't depend on it.
+CACHE_WORDS = 500_000
+#: Bytes of text encoded at once, and ids read at once, where documents are not longer; words given to the tokenizer at once.
+TEXT_BYTES = 1 << 20
 READ_IDS = 1 << 20
+WORDS_AT_ONCE = 2000
 #: Documents in an Arrow batch.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 
 #: Parts of a tokenizer's rules that treat what a space parts as apart.
 _NORMALIZERS = frozenset(["NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"])
@@ -81,11 +84,11 @@ def words_stand_alone(rules: dict) -> bool:
 
 
 class _Run:
-    """Words in the order of their hashes, with their bytes and ids."""
+    """Words in the order of their hashes, with their bytes and ids, and whether they were met again."""
 
-    def __init__(self, h: np.ndarray, words: tuple, ids: tuple):
+    def __init__(self, h: np.ndarray, words: tuple, ids: tuple, again: np.ndarray | None = None):
         by = np.argsort(h, kind="stable")
-        self.h = h[by]
+        self.h, self.again = h[by], np.zeros(len(h), bool) if again is None else again[by]
         self.words, self.ids = ((flat, begin[by].astype(np.int32), size[by].astype(np.int32)) for flat, begin, size in (words, ids))
 
     def __len__(self) -> int:
@@ -93,7 +96,13 @@ class _Run:
 
     def __add__(self, other: _Run) -> _Run:
         both = ((np.concatenate((x[0], y[0])), np.concatenate((x[1], y[1] + len(x[0]))), np.concatenate((x[2], y[2]))) for x, y in ((self.words, other.words), (self.ids, other.ids)))
-        return _Run(np.concatenate((self.h, other.h)), *both)
+        return _Run(np.concatenate((self.h, other.h)), *both, np.concatenate((self.again, other.again)))
+
+    def met_again(self) -> _Run:
+        """The words that were found since the last such call."""
+        keep = np.flatnonzero(self.again)
+        both = ((gather(flat, begin[keep], (n := size[keep]).astype(np.int64)), np.cumsum(n) - n, n) for flat, begin, size in (self.words, self.ids))
+        return _Run(self.h[keep], *both)
 
     def find(self, h: np.ndarray, words: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Which of the words are here, compared byte by byte, and where."""
@@ -104,6 +113,7 @@ class _Run:
         wrong = np.concatenate(([0], np.cumsum(other)))
         end = np.cumsum(size)
         same = wrong[end] == wrong[end - size]
+        self.again[at[same]] = True
         return may[same], at[same]
 
 
@@ -123,8 +133,8 @@ class Encoder:
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and how many each has, by the tokenizer."""
         flat, size = [], []
-        for a in range(0, len(texts), 5000):
-            part = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 5000], add_special_tokens=False)]
+        for a in range(0, len(texts), WORDS_AT_ONCE):
+            part = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + WORDS_AT_ONCE], add_special_tokens=False)]
             size.append(np.fromiter(map(len, part), np.int64, len(part)))
             flat.append(np.fromiter(chain.from_iterable(part), self.kind, int(size[-1].sum())))
         return (np.concatenate(flat), np.concatenate(size)) if flat else (np.zeros(0, self.kind), np.zeros(0, np.int64))
@@ -151,6 +161,8 @@ class Encoder:
             flat.append(ids)
             bytes_ = gather(buf, own[1][left], own[2][left])
             self.runs.append(_Run(h[left], (bytes_, np.cumsum(own[2][left]) - own[2][left], own[2][left]), (ids, np.cumsum(n) - n, n)))
+            if sum(map(len, self.runs)) > CACHE_WORDS:
+                self.runs = [r for r in (r.met_again() for r in self.runs[:-1]) if len(r)] + self.runs[-1:]
             while len(self.runs) > 1 and 2 * len(self.runs[-1]) >= len(self.runs[-2]):
                 self.runs[-2:] = [self.runs[-2] + self.runs[-1]]
             while sum(map(len, self.runs)) > CACHE_WORDS:
@@ -175,6 +187,12 @@ class Encoder:
         return gather(flat, begin[word], n[word]), np.diff(upto[np.concatenate(([0], np.cumsum(words + 1)))])
 
 
+def _give_back() -> None:
+    """From now on arrays of a megabyte go back to the machine when they are dropped: the C library else keeps ever larger ones."""
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def encoder(rules: str) -> Encoder:
     key = zlib.crc32(rules.encode()), len(rules)
     if key not in _loaded:
@@ -196,6 +214,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, doc
         fs, root = open_fs(path)
         name, own = f"{root}/part-{task.partitionId():06d}", uuid.uuid4().hex
         worker_runs("tokens", _loaded.clear)
+        _give_back()
         enc = encoder(rules.value)
         off, ids, nulls, total = [np.zeros(1, np.int64)], [], [], 0
         out = None

@@ -418,3 +418,22 @@ def test_very_long_texts(spark, docs):
     talk = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long_text)], "conv_id long, turn long, role string, text string")
     digest = chat.digest(chat.expand(talk)).first()
     assert digest.loss_chars == len(long_text) and digest.loss_sha256 == hashlib.sha256(long_text.encode()).hexdigest()
+
+
+def test_words_met_again_stay_when_the_memory_of_words_is_full(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import tokens
+
+    with open(str(public_tokenizers.path("word_bpe_49k.json")), encoding="utf-8") as f:
+        rules = f.read()
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 300)
+    enc, own, asked = tokens.Encoder(rules), Tokenizer.from_str(rules), []
+    monkeypatch.setattr(enc, "_ids", lambda words, f=enc._ids: asked.extend(words) or f(words))
+    for n in range(40):
+        text = " ".join([f"often{i}" for i in range(50)] + [f"once{n}x{i}" for i in range(40)])
+        ids, _ = enc.encode(pa.array([text]), 2)
+        assert ids.tolist() == [*own.encode(text, add_special_tokens=False).ids, 2]
+        assert sum(map(len, enc.runs)) <= 300
+    assert sum(w.startswith("often") for w in asked) == 50
